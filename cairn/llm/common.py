@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,16 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where the session names none, as in tests."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
+    return named
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder all executors share (spark.checkpoint.dir).
+    """Cut the lineage: write a table in the shared folder and read it back (a lost executor loses nothing).
 
-    A folder of our own is set only where the session names none, as in tests.
+    A table rather than checkpoint(), whose plans keep the constraints of what they replace, which grow
+    exponentially over the rounds of an iteration; a table also tells the optimizer its size.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no plan needs any more."""
+    for df in tables:
+        if path := getattr(df, "_cairn_path", None):
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def fold(doc_id: Column | str) -> Column:

@@ -15,6 +15,8 @@ packed once each. Further columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,13 +28,23 @@ from pyspark.sql import functions as F
 from .common import blocks, byte_buffer
 
 MAX_LENGTH, END_ID = 4096, 2
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pieces of text, and words within them, whose ids a worker remembers.
+REMEMBERED = 500_000
+#: Texts of ASCII and plain Latin letters need no Unicode tables to be cut into words as the tokenizer does; others go through it whole.
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017f0-9]+")
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, the same as the tokenizer gives for the whole text."""
 
     def __init__(self, path: str):
         import os
@@ -40,23 +52,50 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: bytes) -> bytes:
-        return self.encode_many([text])[0]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def word(self, w: str) -> bytes:
+        got = self.words.get(w)
+        if got is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            spelled = w.encode().decode("latin-1").translate(self.letters)
+            got = self.words[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(spelled)]) else b""
+        return got
+
+    def piece(self, raw: bytes) -> bytes:
+        """Ids of a piece without ASCII white space."""
+        text = raw.decode("utf-8", "replace")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.word, WORDS.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*pieces).difference(known)) if pieces else []
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*pieces))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        known, out = self.known, []
+        for t in texts:
+            pieces = t.split()
+            new = set(pieces).difference(known)
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = set(pieces)
+            for raw in new:
+                known[raw] = self.piece(raw)
+            out.append(b"".join(map(known.__getitem__, pieces)))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, so that later tasks find what earlier ones remembered."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def lengths(total: int) -> list[int]:
@@ -73,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
         import public_tokenizers
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = encoder_of(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         sequence = TaskContext.get().partitionId() << 40
         for b in blocks(batches, "text"):
             data, off = byte_buffer(b.column("text"))
