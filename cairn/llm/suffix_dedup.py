@@ -230,15 +230,17 @@ def _split(batch: pa.RecordBatch, plan: tuple[np.ndarray, np.ndarray, int, int])
     if len(hit):
         at = pos[hit] + place - first[hit]
         d, s, e = union(who[hit], at, at + LENGTH)
-        for b in np.unique(d % total):
+        for b in np.flatnonzero(np.bincount(d % total)):
             m = d % total == b
             yield int(b), 2, _pack(rid[d[m]], s[m], e[m])
         touched = np.zeros(len(first), bool)
         touched[hit] = True
-        n = count[touched]
-        run = np.repeat(np.flatnonzero(touched), n)
-        win = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run]
-        left = ~np.isin(win + run * len(own), place + hit * len(own))
+        n = np.where(touched, count, 0)
+        base = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(first)), n)
+        win = np.arange(n.sum()) - base[run] + first[run]
+        left = np.ones(len(run), bool)
+        left[base[hit] + place - first[hit]] = False
         run, win = run[left], win[left]
         new = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (win[1:] != win[:-1] + 1)))[: len(run)])
         run0, first0 = run[new], win[new]
