@@ -37,7 +37,7 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text per bucket, the most ranges that splitters make, and the longest piece of a text taken at once.
 BUCKET_BYTES, MAX_RANGES, SEGMENT = 12 << 20, 50_000, 2 << 20
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -341,14 +341,26 @@ def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for bucket, kind, raw in _split(b, shared.value):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "kind", "payload"])
 
+    bins = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def settle(table: pa.Table) -> pa.Table:
         rid, s, e = _bucket(list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True)))
+        where = rid % bins  # what a bucket found goes on in a row per bin of documents
+        order = np.argsort(where, kind="stable")
+        cut = np.searchsorted(where[order], np.arange(bins + 1))
+        some = np.flatnonzero(np.diff(cut))
+        picks = [order[cut[k] : cut[k + 1]] for k in some]
+        return pa.table([pa.array(some, pa.int32()), pa.array([_pack(rid[m], s[m], e[m]) for m in picks], pa.binary())], names=["bin", "payload"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x) for x in table.column("payload").to_pylist()]
+        rid, s, e = union(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
         at = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1]))[: len(rid)])
         off = pa.array(np.append(at, len(rid)), pa.int32())
         return pa.table([pa.array(rid[at], pa.int64()), pa.ListArray.from_arrays(off, pa.array(s)), pa.ListArray.from_arrays(off, pa.array(e))], names=["rid", "s", "e"])
 
-    found = keyed.mapInArrow(split, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(settle, "rid long, s array<long>, e array<long>")
-    return d, found.groupBy("rid").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e"))
+    found = keyed.mapInArrow(split, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(settle, "bin int, payload binary")
+    return d, found.groupBy("bin").applyInArrow(gather, "rid long, s array<long>, e array<long>")
 
 
 def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
