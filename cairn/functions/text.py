@@ -81,12 +81,15 @@ def osa(a: str, b: str) -> int:
     return one[-1]
 
 
-@F.udf("int", useArrow=True)
-def edit_distance(a: str | None, b: str | None) -> int | None:
-    """Restricted Damerau-Levenshtein distance; null if either is null."""
+def _distance(a: str | None, b: str | None) -> int | None:
     return None if a is None or b is None else osa(a, b)
 
 
+def edit_distance(a: Column | str, b: Column | str) -> Column:
+    """Restricted Damerau-Levenshtein distance by an Arrow-batched function; null if either is null."""
+    return F.udf(_distance, "int", useArrow=True)(a, b)
+
+
 def capital_penalty(name: Column, query: Column) -> Column:
     """0.6 if the first letters differ in case, 0 where either has no letter."""
     upper = lambda c: F.regexp_extract(c, r"(\p{L})", 1).rlike(r"^\p{Lu}")
