@@ -209,11 +209,11 @@ _MODULES = (
 @query(
     f"WITH RECURSIVE {_MODULES}, p AS (SELECT src, dst, 1 len FROM e UNION ALL SELECT p.src, e.dst, len + 1 FROM p JOIN e ON p.dst = e.src), "
     "tr AS (SELECT dst node, count(DISTINCT src) transitive, max(len) downstream FROM p GROUP BY ALL), di AS (SELECT dst node, count(DISTINCT src) direct FROM e GROUP BY ALL), la AS (SELECT src node, max(len) layer FROM p GROUP BY ALL) "
-    "SELECT node, round(coalesce(sec, 1), 4) duration, coalesce(direct, 0) direct, coalesce(transitive, 0) transitive, coalesce(layer, 0)::int layer, coalesce(downstream, 0)::int downstream, "
-    "round(coalesce(sec, 1) * (1 + coalesce(transitive, 0)) + coalesce(direct, 0), 4) score FROM n LEFT JOIN di USING (node) LEFT JOIN tr USING (node) LEFT JOIN la USING (node)"
+    "SELECT node, coalesce(sec, 1) duration, coalesce(direct, 0) direct, coalesce(transitive, 0) transitive, coalesce(layer, 0)::int layer, coalesce(downstream, 0)::int downstream, "
+    "coalesce(sec, 1) * (1 + coalesce(transitive, 0)) + coalesce(direct, 0) score FROM n LEFT JOIN di USING (node) LEFT JOIN tr USING (node) LEFT JOIN la USING (node)"
 )
 def bottlenecks(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bottlenecks(*_modules(spark, d)).withColumns({"duration": F.round("duration", 4), "score": F.round("score", 4)})
+    return graph.bottlenecks(*_modules(spark, d))
 
 
 @query(
