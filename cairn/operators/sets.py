@@ -9,14 +9,14 @@ from pyspark.sql.window import Window
 
 def mention_all(mentions: DataFrame, key: str, value: str, wanted: list) -> DataFrame:
     """Keys that occur with every wanted value: relational division by a filtered distinct count."""
-    return mentions.where(F.col(value).isin(wanted)).groupBy(key).agg(F.countDistinct(value).alias("k")).where(F.col("k") == len(set(wanted))).select(key)
+    return mentions.where(F.col(value).isin(wanted)).groupBy(key).agg(F.countDistinct(value).alias("_met")).where(F.col("_met") == len(set(wanted))).select(key)
 
 
 def common_settings(settings: DataFrame, by: list[str], part: str, value: str) -> DataFrame:
     """Values that every part of a group has. settings: (by..., part, value)."""
-    n = settings.groupBy(*by).agg(F.countDistinct(part).alias("n")) if by else settings.agg(F.countDistinct(part).alias("n"))
-    k = settings.groupBy(*by, value).agg(F.countDistinct(part).alias("k"))
-    return (k.join(n, by) if by else k.join(F.broadcast(n))).where("k = n").select(*by, value)  # n is a single row without `by`
+    n = settings.groupBy(*by).agg(F.countDistinct(part).alias("_all")) if by else settings.agg(F.countDistinct(part).alias("_all"))
+    k = settings.groupBy(*by, value).agg(F.countDistinct(part).alias("_met"))
+    return (k.join(n, by) if by else k.join(F.broadcast(n))).where("_met = _all").select(*by, value)  # n is a single row without `by`
 
 
 def own_settings(settings: DataFrame, inherited: DataFrame, keys: list[str]) -> DataFrame:
