@@ -21,7 +21,7 @@ def baseline(spark: SparkSession, path: str, limit: int = 2_000_000) -> DataFram
 def package_records(spark: SparkSession, path: str) -> DataFrame:
     """Records `key: value`, separated by lines of ---, as maps."""
     d = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^---\s*$")).alias("record")).where("trim(record) <> ''")
-    return d.select(F.str_to_map(F.regexp_replace(F.trim("record"), r"\n\s+", " "), F.lit("\n"), F.lit(":")).alias("fields")).select(F.trim(F.col("fields")["name"]).alias("package"), F.trim(F.col("fields")["id"]).alias("unit_id"), (F.trim(F.col("fields")["exposed"]) == "True").alias("exposed"))
+    return d.select(F.str_to_map(F.regexp_replace(F.regexp_replace("record", r"^\s+|\s+$", ""), r"\n\s+", " "), F.lit("\n"), F.lit(":")).alias("fields")).select(F.trim(F.col("fields")["name"]).alias("package"), F.trim(F.col("fields")["id"]).alias("unit_id"), (F.trim(F.col("fields")["exposed"]) == "True").alias("exposed"))
 
 
 def environment_lines(spark: SparkSession, path: str) -> DataFrame:
