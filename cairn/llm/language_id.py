@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import as_large, blocks, held_out, segment_sum, unit_hash
 
-MAX_CHARS, MAX_DOCS, SYMBOLS, PIECE = 50_000, 200, 48, 256
+#: Characters and documents of training text per language, languages at most (the most frequent), symbols of the alphabet, letters a piece.
+MAX_CHARS, MAX_DOCS, MAX_LANGUAGES, SYMBOLS, PIECE = 50_000, 200, 256, 48, 256
 
 
 def fold_table() -> np.ndarray:
@@ -157,10 +158,13 @@ def squeeze(sym: np.ndarray, off: np.ndarray | None, gap: int = 32) -> tuple[np.
 
 def fit(docs: DataFrame) -> Languages:
     known = docs.where("lang is not null and text is not null").where(~held_out("doc_id")).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").count()
-    want = F.least(F.lit(1.0), F.lit(MAX_DOCS) / F.col("count"))
-    # one row per language, broadcast only if AQE sees it is small; MAX_DOCS per language on average reach the driver, each a piece of text
-    rows = known.join(counts, "lang").where(unit_hash("doc_id") < want).select("doc_id", "lang", F.left("text", F.lit(MAX_CHARS)).alias("text")).toArrow().sort_by("doc_id").to_pylist()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return Languages({})
+    # the shares are literals of the scan's filter, so no text is shuffled; about MAX_DOCS pieces of text per language reach the driver
+    share_of = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, MAX_DOCS / r["count"]))))
+    chosen = known.where(unit_hash("doc_id") < F.coalesce(F.try_element_at(share_of, F.col("lang")), F.lit(0.0)))
+    rows = chosen.select("doc_id", F.col("lang"), F.left("text", F.lit(MAX_CHARS)).alias("text")).toArrow().sort_by("doc_id").to_pylist()
     texts: dict[str, str] = {}
     share: dict[str, int] = {}
     for r in rows:
