@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import compact_diagnostic, line_bytes, line_seconds
+from .spans import contained
 
 MESSAGE_LENGTH = 700
 
@@ -69,3 +70,44 @@ def retry_until_stable(attempt, most: int = 3):
             return ok, tries
         seen.add(signature)
         tries += 1
+
+
+def resolve_imports(issues: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Actions per import and warnings per issue.
+
+    issues: (issue_id, file, sl, el, issue, names) with issue whole or names; imports: (import_id, file, s, e, kind) with kind
+    open, hiding or explicit. An issue must lie in exactly one import; a whole-import issue deletes it and beats removals,
+    which are united; names can be removed from explicit lists alone.
+    """
+    i = issues.select("file", F.col("issue_id").alias("i"), F.col("sl").alias("s"), F.col("el").alias("e"))
+    o = imports.select("file", F.struct("import_id", "kind").alias("o"), F.col("s").alias("os"), F.col("e").alias("oe"))
+    one = contained(i, o).groupBy("i").agg(F.count("*").alias("n"), F.min("o").alias("o"))
+    j = issues.join(one, issues["issue_id"] == one["i"], "left")
+    warning = F.when(F.col("n").isNull(), "no import").when(F.col("n") > 1, "several imports").when((F.col("issue") == "names") & (F.col("o.kind") != "explicit"), F.concat("o.kind", F.lit(" import")))
+    j = j.withColumn("warning", warning)
+    good = j.where("warning is null").groupBy("o.import_id").agg(F.bool_or(F.col("issue") == "whole").alias("whole"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    actions = good.select("import_id", F.when(F.col("whole"), "delete").otherwise("remove").alias("action"), F.when(~F.col("whole"), F.col("names")).alias("names"))
+    return actions, j.where("warning is not null").select("issue_id", "warning")
+
+
+def apply_edits(texts: DataFrame, edits: DataFrame) -> DataFrame:
+    """(file, text) after edits (file, s, e, text) of character offsets [s, e), last first; edits that clash, are stale or invalid are left out."""
+    size = texts.select("file", F.length("text").alias("size"))
+    fit = edits.join(size, "file").where("0 <= s and s <= e and e <= size").drop("size")
+    todo = conflicting_edits(fit).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("s", "e", F.col("text").alias("put"))), asc=False).alias("edits"))
+    put = lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), x["put"], F.substring(t, x["e"] + 1, F.length(t)))
+    none = F.array().cast("array<struct<s:int,e:int,put:string>>")
+    return texts.join(todo, "file", "left").select("file", F.aggregate(F.coalesce(F.col("edits").cast("array<struct<s:int,e:int,put:string>>"), none), F.col("text"), put).alias("text"))
+
+
+def snippets(diagnostics: DataFrame, lines: DataFrame, before: int = 2) -> DataFrame:
+    """Source lines of each diagnostic, from two before its start through its end. diagnostics: (seq, file, sl, el); lines: (file, line, text)."""
+    span = diagnostics.where("sl is not null").select("seq", "file", F.explode(F.sequence(F.greatest(F.lit(1), F.col("sl") - before), "el")).alias("line"), "sl")
+    return span.join(lines, ["file", "line"]).select("seq", "file", "line", (F.col("line") >= F.col("sl")).alias("marked"), "text")
+
+
+def load_summary(modules: DataFrame) -> DataFrame:
+    """One row from (module, loaded): totals, status and whether results are partial."""
+    t = modules.groupBy("module").agg(F.bool_or("loaded").alias("loaded")).agg(F.count_if("loaded").alias("loaded"), F.count_if(~F.col("loaded")).alias("failed"))
+    status = F.when(F.col("loaded") + F.col("failed") == 0, "empty").when(F.col("failed") == 0, "loaded").when(F.col("loaded") == 0, "failed").otherwise("partial")
+    return t.select("loaded", "failed", (F.col("loaded") + F.col("failed")).alias("total"), status.alias("status"), (F.col("failed") > 0).alias("partial"))

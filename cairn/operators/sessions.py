@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,3 +57,33 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def normalise_snapshot(values):
     return F.array_sort(F.array_distinct(values))
+
+
+def entry_text(text: Column, content: Column) -> Column:
+    """An entry's text, else its content: a JSON string as it is, the texts of a list's parts in lines, otherwise empty."""
+    parts = F.from_json(content, "array<string>")
+    piece = F.transform(parts, lambda p: F.when(p.startswith("{") & F.get_json_object(p, "$").isNotNull(), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p))
+    listed = F.array_join(F.filter(piece, lambda p: p != ""), "\n")
+    return F.coalesce(text, F.when(content.startswith("["), listed).when(content.startswith('"'), F.from_json(F.concat(F.lit('{"t":'), content, F.lit("}")), "t string")["t"]), F.lit(""))
+
+
+def recovery_ranges(entries: DataFrame, completed: DataFrame) -> DataFrame:
+    """(session, id, s, e, completed): what each completed recovery replaces, from its start to just before its final call.
+
+    entries: (session, seq, entry_id, call_id, is_result); completed: (session, id, start_entry, start_call, final_call,
+    completed). The start is the first entry with the starting call, else the starting entry; recoveries without a start,
+    without the final result at or after it, or with nothing between are left out.
+    """
+    first = lambda key, name, kept: entries.where(kept).groupBy("session", F.col(key).alias(name)).agg(F.min("seq").alias("_" + name))
+    j = completed.join(first("call_id", "start_call", "call_id is not null"), ["session", "start_call"], "left").join(first("entry_id", "start_entry", "entry_id is not null"), ["session", "start_entry"], "left")
+    j = j.join(first("call_id", "final_call", "call_id is not null and not is_result"), ["session", "final_call"], "left")
+    result = entries.where("is_result").groupBy("session", F.col("call_id").alias("final_call")).agg(F.min("seq").alias("_result"))
+    j = j.join(result, ["session", "final_call"], "left").withColumn("s", F.coalesce("_start_call", "_start_entry"))
+    stop = F.when(F.col("_final_call") <= F.col("_result"), F.col("_final_call")).otherwise(F.col("_result"))
+    return j.withColumn("e", stop - 1).where("s is not null and _result >= s and e >= s").select("session", "id", "s", "e", "completed")
+
+
+def recovery_totals(recoveries: DataFrame, ranges: DataFrame) -> DataFrame:
+    """One row: recoveries (session, id, original, replacement tokens), once per id, and how many have no range."""
+    once = recoveries.dropDuplicates(["session", "id"]).join(ranges.select("session", "id", F.lit(1).alias("_found")), ["session", "id"], "left")
+    return once.agg(F.count("*").alias("recoveries"), F.coalesce(F.sum("original"), F.lit(0)).alias("original"), F.coalesce(F.sum("replacement"), F.lit(0)).alias("replacement"), F.count_if(F.col("_found").isNull()).alias("missing"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import canonical, compact_diagnostic, edit_distance, estimate_tokens, matches_glob, max_distance, tokenize
-from ..operators import diagnostics, graph, knowledge, search, sessions, sets, spans, tree
+from ..operators import diagnostics, graph, knowledge, lookup, references, search, sessions, sets, spans, tree
 from ..tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,3 +394,63 @@ def prefix_completion(spark: SparkSession, d: str) -> DataFrame:
 def omitted_by_module(spark: SparkSession, d: str) -> DataFrame:
     o = knowledge.omitted_by_module(table(spark, d, "part").select(F.col("p_brand").alias("module"), F.col("p_type").alias("name")))
     return o.select("module", F.concat(F.lit("["), F.array_join("names", ", "), F.lit("]")).alias("names"))
+
+
+@query(
+    "WITH c AS (SELECT p_name root, replace(p_brand, 'Brand#', 'GHC.Internal') || '.' || p_type AS module, bool_or(p_size <= 3) home, bool_or(p_size <= 25) defining, bool_or(p_size > 10) exported FROM part GROUP BY ALL), "
+    "k AS (SELECT root, module, CASE WHEN home THEN -400 ELSE 0 END - CASE WHEN module = 'Prelude' AND exported THEN 300 ELSE 0 END - CASE WHEN defining AND exported THEN 200 ELSE 0 END - CASE WHEN exported THEN 100 ELSE 0 END + "
+    "CASE WHEN contains(module, '.Internal') THEN 100 ELSE 0 END + CASE WHEN starts_with(module, 'GHC.') THEN 50 ELSE 0 END pen FROM c) SELECT root, arg_min(module, (pen, len(string_split(module, '.')), module)) AS module FROM k GROUP BY root"
+)
+def preferred_modules(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_name").alias("root"), F.concat_ws(".", F.replace("p_brand", F.lit("Brand#"), F.lit("GHC.Internal")), "p_type").alias("module"), "p_size")
+    c = p.groupBy("root", "module").agg(F.bool_or(F.col("p_size") <= 3).alias("home"), F.bool_or(F.col("p_size") <= 25).alias("defining"), F.bool_or(F.col("p_size") > 10).alias("exported"))
+    return lookup.preferred_modules(c)
+
+
+@query(
+    "WITH x AS (SELECT p_brand module, p_type root, bool_or(p_size = 1) hit, list_sort(list_distinct(list(p_name) FILTER (contains(p_name, 'small')))) c FROM part GROUP BY ALL) "
+    "SELECT module, root, coalesce(array_to_string(c, ','), '') children FROM x WHERE hit OR len(c) > 0"
+)
+def exported_symbols(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_brand").alias("module"), F.col("p_type").alias("root"), F.col("p_name").alias("child"), (F.col("p_size") == 1).alias("root_hit"), F.col("p_name").contains("small").alias("child_hit"))
+    return lookup.exports(p, hinted=True).withColumn("children", F.array_join("children", ","))
+
+
+@query("SELECT 'c' || c_custkey node, 'r' || n_regionkey root, 2 steps FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def root_chain(spark: SparkSession, d: str) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    up = lambda t, kid, p, parent: t.select(F.concat(F.lit(kid), t[p]).alias("node"), F.concat(F.lit("n" if kid == "c" else "r"), t[parent]).alias("parent"))
+    parents = up(c, "c", "c_custkey", "c_nationkey").union(up(n, "n", "n_nationkey", "n_regionkey"))
+    return lookup.roots(c.select(F.concat(F.lit("c"), "c_custkey").alias("node")), parents)
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey AS name FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11') ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 15"
+)
+def find_references(spark: SparkSession, d: str) -> DataFrame:
+    index = table(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), "l_orderkey", "l_linenumber", "l_shipdate")
+    targets = table(spark, d, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("name"))
+    return references.find_references(targets, index, ["l_shipdate", "l_orderkey", "l_linenumber"])[0].drop("l_shipdate")
+
+
+@query(
+    "WITH o AS (SELECT l_orderkey d, l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey i, l_suppkey s, l_suppkey + l_linenumber e, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber - 1 END parent FROM lineitem), "
+    "m AS (SELECT l_orderkey d, l_linenumber AS name, l_suppkey % 20 s, l_suppkey % 20 + l_partkey e FROM lineitem), r AS (SELECT d, list_sort(list(DISTINCT name)) roots FROM m WHERE name <= 2 GROUP BY d), "
+    "p AS (SELECT i, name, m.e - m.s AS size, min(m.e - m.s) OVER (PARTITION BY i) least FROM o JOIN m ON o.d = m.d AND m.s <= o.s AND o.e <= m.e), n AS (SELECT i, list_sort(list(DISTINCT name)) near FROM p WHERE size = least GROUP BY i) "
+    "SELECT i, array_to_string(CASE WHEN near IS NOT NULL THEN CASE WHEN list_contains(near, parent) THEN [parent] ELSE near END WHEN list_contains(roots, parent) THEN [parent] ELSE roots END, ',') owners "
+    "FROM o LEFT JOIN n USING (i) LEFT JOIN r ON o.d = r.d"
+)
+def occurrence_owners(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("def_id"), F.col("l_linenumber").alias("name"), "l_suppkey", "l_partkey")
+    parent = F.when(F.col("name") % 2 == 0, F.col("name") - 1)
+    o = li.select("def_id", F.concat_ws("-", "def_id", "name", "l_suppkey", "l_partkey").alias("i"), F.col("l_suppkey").alias("s"), (F.col("l_suppkey") + F.col("name")).alias("e"), parent.alias("parent"))
+    m = li.select("def_id", "name", (F.col("l_suppkey") % 20).alias("s"), (F.col("l_suppkey") % 20 + F.col("l_partkey")).alias("e"))
+    return references.occurrence_owners(o, m, m.where("name <= 2").select("def_id", "name")).withColumn("owners", F.array_join("owners", ","))
+
+
+@query(
+    "WITH m AS (SELECT doc_id, bool_or(toxic = 0) ok FROM labels GROUP BY doc_id), t AS (SELECT count(*) FILTER (ok) loaded, count(*) FILTER (NOT ok) failed FROM m) "
+    "SELECT loaded, failed, loaded + failed total, CASE WHEN loaded + failed = 0 THEN 'empty' WHEN failed = 0 THEN 'loaded' WHEN loaded = 0 THEN 'failed' ELSE 'partial' END status, failed > 0 AS partial FROM t"
+)
+def load_summary(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.load_summary(table(spark, d, "labels").select(F.col("doc_id").alias("module"), (F.col("toxic") == 0).alias("loaded")))
