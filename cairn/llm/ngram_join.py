@@ -13,8 +13,9 @@ Two documents link when 100 * intersection >= `PERCENT` * union of their sets of
    T = ceil(PERCENT% of a) common shingles; the short lists are merged and counted, and documents that
    reach T less the number of long lists are looked up in the long ones by binary search. Clusters larger
    than `BLOCK_DOCS` are cut into blocks that share a few pivots; what pivots and blocks leave
-   unconnected is then searched against the other blocks of its cluster. A pair that is connected already
-   need not be verified: classes lose no link.
+   unconnected is then searched against the other blocks of its cluster. A document that has too few shingles
+   in common with a block's documents taken together is not searched for there. A pair that is connected
+   already need not be verified: classes lose no link.
 
 Nulls: a null or wordless text has an empty set and links with nothing; a null doc_id links with nothing and
 has a null component. Rows that repeat a doc_id are one document for links, each with its own n_shingles.
@@ -219,28 +220,38 @@ class Classes:
         return x
 
 
-def divide_skip(flat: np.ndarray, off: np.ndarray, label: np.ndarray, query: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (positions of sets) that connect sets of different labels, for the sets marked as queries against all."""
+def divide_skip(flat: np.ndarray, off: np.ndarray, label: np.ndarray, query: np.ndarray, percent: int = PERCENT, target: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (positions of sets) that connect sets of different labels, for the sets marked as queries against the targets (all, if none are given)."""
     size = np.diff(off)
     n = len(size)
+    target = np.ones(n, bool) if target is None else target
+    row = np.repeat(np.arange(n), size)
     order = np.argsort(size, kind="stable")  # sets in order of size; those of a query's range of sizes are neighbours
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     sizes = size[order]
-    terms, lists = np.unique(flat, return_inverse=True)
-    index = np.sort(lists.astype(np.int64) * n + place[np.repeat(np.arange(n), size)])  # inverted lists, one after another
+    held = target[row]
+    terms = np.unique(flat[held])
+    if not len(terms):
+        return []
+    lists = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+    known = terms[lists] == flat
+    index = np.sort(lists[held] * n + place[row[held]])  # inverted lists of the targets, one after another
     bounds = np.searchsorted(index, np.arange(len(terms) + 1) * n)
     length = np.diff(bounds)
+    # a partner shares `need` shingles, so a query needs as many that some other target has
+    shared = known & (length[lists] > held)
+    query = query & (size > 0) & (np.bincount(row[shared], minlength=n) >= -(-percent * size // 100))
     classes, found = Classes(label), []
-    for q in np.flatnonzero(query & (size > 0))[np.argsort(size[query & (size > 0)], kind="stable")].tolist():
-        own = lists[off[q] : off[q + 1]].astype(np.int64)
-        a, mine = len(own), int(place[q])
+    for q in np.flatnonzero(query)[np.argsort(size[query], kind="stable")].tolist():
+        a, mine = int(size[q]), int(place[q])
         low, high = np.searchsorted(sizes, -(-percent * a // 100)), np.searchsorted(sizes, a * 100 // percent, side="right")
         need = -(-percent * a // 100)
+        own = lists[off[q] : off[q + 1]][known[off[q] : off[q + 1]]].astype(np.int64)
         own = own[np.argsort(length[own], kind="stable")]
         # of the `need` lists a partner must be on, the longest are looked up and the rest merged
         long_ = min(need - 1, max(0, int(need / (0.02 * np.log2(length[own[-1]] + 1) + 1))))
-        short, probe = own[: a - long_], own[a - long_ :]
+        short, probe = own[: len(own) - long_], own[len(own) - long_ :]
         merged = np.concatenate([index[bounds[t] : bounds[t + 1]] - t * n for t in short.tolist()]) if len(short) else np.zeros(0, np.int64)
         merged = merged[(merged >= low) & (merged < high) & (merged != mine)]
         if not len(merged):
@@ -281,16 +292,16 @@ def divide_skip(flat: np.ndarray, off: np.ndarray, label: np.ndarray, query: np.
 
 
 def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, query, set) of whole blocks -> verified links (a, b)."""
+    """(doc_id, label, query, target, set) of whole blocks -> verified links (a, b)."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got)
-    doc, label, query = (t.column(c).to_numpy() for c in ("doc_id", "label", "query"))
+    doc, label, query, target = (t.column(c).to_numpy() for c in ("doc_id", "label", "query", "target"))
     sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
-    links = divide_skip(flat, off, label, query.astype(bool))
+    links = divide_skip(flat, off, label, query.astype(bool), target=target.astype(bool))
     a, b = (np.array([doc[p[i]] for p in links], np.int64) for i in (0, 1))
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -322,7 +333,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = chosen.select("component", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("doc_id"))
     pivots = big.join(chosen, ["component", "doc_id"], "left_semi")
     pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    local = sets.union(pivots.select(sets.columns)).select("doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("query"), "shingles", "component", "block")
+    local = sets.union(pivots.select(sets.columns)).select("doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("query"), F.lit(True).alias("target"), "shingles", "component", "block")
     kind = "a long, b long"
     links = materialise(local.repartition(parts, "component", "block").drop("component", "block").mapInArrow(_search, kind).union(same))
     if not big.isEmpty():
@@ -332,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = state.join(largest, "component").where("label <> most")
         if not rest.isEmpty():
             ask = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            pick = lambda x, q: x.select("doc_id", "label", F.lit(q).alias("query"), "shingles", "component", "block")
+            pick = lambda x, ask_: x.select("doc_id", "label", F.lit(ask_).alias("query"), F.lit(not ask_).alias("target"), "shingles", "component", "block")
             touched = state.join(rest.select("component").distinct(), "component", "left_semi")
             more = pick(touched, False).union(pick(ask, True)).repartition(parts, "component", "block").drop("component", "block").mapInArrow(_search, kind)
             links = links.union(materialise(more))

@@ -134,6 +134,27 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, block):
     assert got == {d: (len(s[d]), find(d)) for d in s}
 
 
+def test_search_of_queries_against_targets():
+    """Queries find linked targets of other classes, and only those; sets that are neither are left alone."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    sets = [np.unique(np.array([*rng.sample(base, 60 - k), *(rng.getrandbits(63) for _ in range(k))], np.uint64)) for k in [0, 1, 2, 3, 3, 4, 5, 9, 20] * 4]
+    sets += [np.zeros(0, np.uint64)]
+    n = len(sets)
+    query, target = np.array([i % 3 == 0 for i in range(n)]), np.array([i % 2 == 0 for i in range(n)])
+    off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
+    links = ngram_join.divide_skip(np.concatenate(sets), off, np.arange(n), query, target=target)
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    true = {(i, j) for i in np.flatnonzero(query) for j in np.flatnonzero(target) if i != j and len(sets[i]) and 100 * both(i, j) >= 85 * (len(sets[i]) + len(sets[j]) - both(i, j))}
+    assert links and set(links) <= true
+    found, wanted = ngram_join.Classes(np.arange(n)), ngram_join.Classes(np.arange(n))
+    for classes, pairs in ((found, links), (wanted, true)):
+        for i, j in pairs:
+            a, b = classes.find(i), classes.find(j)
+            classes.up[max(a, b)] = min(a, b)
+    assert [found.find(i) for i in range(n)] == [wanted.find(i) for i in range(n)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (7, 7)], "a long, b long")
     for small in (0, 1000):
