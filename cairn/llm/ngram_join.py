@@ -339,12 +339,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not big.isEmpty():
         joined = components(links)
         state = materialise(big.join(joined.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-        largest = state.groupBy("component", "label").count().groupBy("component").agg(F.max(F.struct("count", "label"))["label"].alias("most"))
-        rest = state.join(largest, "component").where("label <> most")
+        # one row per cluster and block meets the members, so that no join puts a whole cluster into one task
+        largest = state.groupBy("component", "label").agg(F.count("*").alias("count"), F.max("blocks").alias("blocks")).groupBy("component").agg(F.max(F.struct("count", "label"))["label"].alias("most"), F.max("blocks").alias("blocks"))
+        each = lambda x: x.select("component", *(c for c in x.columns if c not in ("component", "blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        rest = state.join(each(largest), ["component", "block"]).where("label <> most")
         if not rest.isEmpty():
             ask = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             pick = lambda x, ask_: x.select("doc_id", "label", F.lit(ask_).alias("query"), F.lit(not ask_).alias("target"), "shingles", "component", "block")
-            touched = state.join(rest.select("component").distinct(), "component", "left_semi")
+            touched = state.join(each(rest.select("component", "blocks").distinct()), ["component", "block"], "left_semi")
             more = pick(touched, False).union(pick(ask, True)).repartition(parts, "component", "block").drop("component", "block").mapInArrow(_search, kind)
             links = links.union(materialise(more))
     final = components(links)
