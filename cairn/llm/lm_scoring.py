@@ -1,11 +1,15 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models of the same order, vocabulary (bytes), tables and smoothing are counted: a target model
-over the documents labelled good, and a background model over all documents. A document's score is the
-mean over its bytes of the background's loss less the target's (bits), so what reads like the target and
-unlike the rest scores high. Counts come from every byte of every document: each task adds up tables of
-fixed size, tables are cut into slices, and slices are summed by a shuffle; the tables' size is a
-parameter (longer contexts share hashed buckets), which bounds what is broadcast.
+Two n-gram models of the same order, vocabulary (bytes) and smoothing are counted: a target model over the
+documents labelled good, and a background model over all documents. A document's score is the mean over
+its bytes of the background's loss less the target's (bits), so what reads like the target and unlike the
+rest scores high. Counts are exact, one for each n-gram that occurs, from every byte of every document:
+
+1. Documents are packed into blocks of text, written to the shared folder.
+2. Each block sends its distinct n-grams with their counts to slices, dealt by a hash of the context.
+3. A slice adds up the counts of its n-grams and contexts over all blocks, and answers each block with the
+   totals of the n-grams that the block sent. The number of slices grows with the input.
+4. A block meets its answers, and its documents are scored. No table of counts is in one place.
 
 Nulls: a null text has no tokens and scores 0; null labels and labels without a document are ignored;
 with no target text the target model equals the background and every score is 0. Repeated rows count and
@@ -21,90 +25,149 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_buffer, segment_sum
+from .common import blocks, byte_buffer, materialise, mix, segment_sum
 
-#: Bits of the tables: 5-grams, their contexts, 3-grams, their contexts (exact).
-BITS, SLICES, DISCOUNT = (20, 19, 18, 16), 32, 4.0
-SIZES = [1 << b for b in BITS]
-AT = np.concatenate(([0], np.cumsum(SIZES)))
-M = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text in a block and for each slice of the counts, and the fewest slices.
+TEXT_BYTES, SLICE_BYTES, SLICES, DISCOUNT = 8 << 20, 8 << 20, 64, 4.0
+#: Set in the key of a 3-gram; a key without its lowest byte is its context's.
+LOW = np.uint64(1 << 48)
+BYTE = np.uint64(8)
 
 
-def slots(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """For each byte its bucket in each table. A text is preceded by zero bytes."""
-    x = data.astype(np.uint64)
-    n, pos = len(x), np.arange(len(x)) - np.repeat(off[:-1], np.diff(off))
-    back = []
+def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 5-grams, sorted, and for each byte the place of the one that it ends. A text is preceded by zero bytes."""
+    key, pos = data.astype(np.uint64), np.arange(len(data)) - np.repeat(off[:-1], np.diff(off))
     for k in range(1, 5):
-        y = np.zeros(n, np.uint64)
-        y[k:] = x[:-k] if n > k else y[k:]
-        y[pos < k] = 0
-        back.append(y)
-    two = back[0] | back[1] << np.uint64(8)
-    four = two | back[2] << np.uint64(16) | back[3] << np.uint64(24)
-    hashed = lambda v, bits: ((v * M) >> np.uint64(64 - bits)).astype(np.int64)
-    return [hashed(four << np.uint64(8) | x, BITS[0]), hashed(four, BITS[1]), hashed(two << np.uint64(8) | x, BITS[2]), two.astype(np.int64)]
+        key[k:] |= np.where(pos[k:] < k, 0, data[:-k]).astype(np.uint64) << np.uint64(8 * k)
+    coded = pa.array(key).dictionary_encode()
+    kinds = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(kinds)
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(kinds))
+    return kinds[order], place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def lower(five: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the distinct 3-grams that the 5-grams end with, and the place of each one's."""
+    return np.unique(five & np.uint64(0xFFFFFF) | LOW, return_inverse=True)
+
+
+def dealt(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order of their slices, and where each slice's begin; those of one context share a slice."""
+    to = (mix(keys >> BYTE) % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(slices + 1))
+
+
+def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of (n-gram, counts in each model), repeated -> distinct n-grams, and (counts, counts of their contexts) over all rows."""
 
+    def add(inverse: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, x.shape[1]), np.int64)
+        np.add.at(out, inverse, x)
+        return out
 
-def loss(tables: list[np.ndarray], at: list[np.ndarray]) -> np.ndarray:
-    """Bits per byte: 5-grams backed off to 3-grams, backed off to a uniform byte."""
-    low = (tables[2][at[2]] + DISCOUNT / 256) / (tables[3][at[3]] + DISCOUNT)
-    return -np.log2((tables[0][at[0]] + DISCOUNT * low) / (tables[1][at[1]] + DISCOUNT))
+    kinds, inverse = np.unique(keys, return_inverse=True)
+    own = add(inverse, counts, len(kinds))
+    contexts, of = np.unique(kinds >> BYTE, return_inverse=True)
+    return kinds, np.concatenate((own, add(of, own, len(contexts))[of]), 1)
 
 
-def count(texts: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Background and target tables from (text, target); bounded by the tables' size, whatever the input."""
+def losses(n: np.ndarray, context: np.ndarray, n_low: np.ndarray, context_low: np.ndarray) -> np.ndarray:
+    """Bits: 5-grams backed off to 3-grams, backed off to a uniform byte."""
+    low = (n_low + DISCOUNT / 256) / (context_low + DISCOUNT)
+    return -np.log2((n + DISCOUNT * low) / (context + DISCOUNT))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    import pickle
+
     import zstandard
 
-    total = int(AT[-1])
-    width = -(-total // SLICES)
+    return zstandard.compress(pickle.dumps(arrays, 5), 1)
 
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, SLICES * width), np.int64)
-        for b in blocks(batches, "text"):
-            mask = b.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            for good in (True, False):
-                part = b.filter(pa.array(mask == good))
-                if not part.num_rows:
-                    continue
-                for k, at in enumerate(slots(*byte_buffer(part.column("text")))):
-                    sums[int(good), AT[k] : AT[k + 1]] += np.bincount(at, minlength=SIZES[k])
-        for k in range(SLICES):
-            own = np.ascontiguousarray(sums[:, k * width : (k + 1) * width])
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], names=["slice", "sums"])
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(2 * width, np.int64)
-        for b in batches:
-            for x in b.column("sums").to_pylist():
-                own += np.frombuffer(zstandard.decompress(x), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], names=["slice", "sums"])
+def _unpack(raw: bytes) -> tuple:
+    import pickle
+
+    import zstandard
+
+    return pickle.loads(zstandard.decompress(raw))
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> blocks, each a row."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 32
+    for b in blocks(batches, "text", TEXT_BYTES):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(b)
+        _, off = byte_buffer(b.column("text"))
+        good = int(np.diff(off)[b.column("target").to_numpy(zero_copy_only=False)].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([int(off[-1])], pa.int64()), pa.array([good], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "n_target", "texts"])
+        at += 1
 
-    kind = "slice int, sums binary"
-    both = np.zeros((2, SLICES, width))
-    for r in texts.mapInArrow(partial, kind).groupBy("slice").applyInArrow(add, kind).collect():
-        both[:, r["slice"]] = np.frombuffer(zstandard.decompress(r["sums"]), np.int64).reshape(2, width)
-    flat = both.reshape(2, -1)[:, :total].astype(np.float32)
-    return [flat.sum(0)[AT[k] : AT[k + 1]] for k in range(4)], [flat[1][AT[k] : AT[k + 1]] for k in range(4)]
+
+def _open(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
 
 
 def score_by_models(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (bits a token) and score, their difference."""
-    spark = docs.sparkSession
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id", F.lit(True).alias("good"))
-    background, target = count(text.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target")))
-    if not target[0].any():
-        target = background
-    models = spark.sparkContext.broadcast((background, target))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b_tables, t_tables = models.value
-        for b in blocks(batches, "text", 2 << 20):
-            data, off = byte_buffer(b.column("text"))
-            at, n = slots(data, off), np.diff(off)
-            lt, lb = (segment_sum(loss(t, at).astype(np.float64), off) / np.maximum(n, 1) for t in (t_tables, b_tables))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(lt), pa.array(lb), pa.array(lb - lt)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+    marked = text.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("target"))
+    packed = materialise(marked.mapInArrow(_texts, "block long, n_bytes long, n_target long, texts binary"))
+    size, taught = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    slices = max(SLICES, -(-size // SLICE_BYTES))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for block, raw in zip(rows.column("block").to_pylist(), rows.column("texts"), strict=True):
+                b = _open(raw.as_buffer())
+                data, off = byte_buffer(b.column("text"))
+                five, at = grams(data, off)
+                if not len(five):
+                    continue
+                mask = np.repeat(b.column("target").to_numpy(zero_copy_only=False), np.diff(off))
+                n = np.stack([np.bincount(at, minlength=len(five)), np.bincount(at[mask], minlength=len(five))], 1)
+                three, of = lower(five)
+                low = np.stack([np.bincount(of, n[:, k], len(three)).astype(np.int64) for k in range(2)], 1)
+                keys, n = np.concatenate((five, three)), np.concatenate((n, low)).astype(np.uint32)
+                order, cut = dealt(keys, slices)
+                some = np.flatnonzero(np.diff(cut))
+                sent = [_pack(keys[m], n[m]) for m in (order[cut[k] : cut[k + 1]] for k in some)]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(np.full(len(some), block)), pa.array(sent, pa.binary())], names=["slice", "block", "sent"])
 
-    return text.mapInArrow(run, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double")
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sent = [], []
+        for b in batches:
+            block += b.column("block").to_pylist()
+            sent += [_unpack(x) for x in b.column("sent").to_pylist()]
+        kinds, found = totals(np.concatenate([k for k, _ in sent]), np.concatenate([n for _, n in sent]))
+        for k, (keys, _) in zip(block, sent, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([k], pa.int64()), pa.array([_pack(found[np.searchsorted(kinds, keys)])], pa.binary())], names=["slice", "block", "found"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for raw in left.column("texts"):
+            b = _open(raw.as_buffer())
+            data, off = byte_buffer(b.column("text"))
+            n = np.diff(off)
+            five, at = grams(data, off)
+            three, of = lower(five)
+            order, cut = dealt(np.concatenate((five, three)), slices)
+            found = np.zeros((len(order), 4), np.int64)
+            for k, x in zip(right.column("slice").to_pylist(), right.column("found").to_pylist(), strict=True):
+                found[order[cut[k] : cut[k + 1]]] = _unpack(x)[0]
+            high, low = found[: len(five)], found[len(five) :][of]
+            lb, lt = (losses(high[:, k], high[:, k + 2], low[:, k], low[:, k + 2]) for k in (0, 1 if taught else 0))
+            lt, lb = (segment_sum(x[at], off) / np.maximum(n, 1) for x in (lt, lb))
+            out.append(pa.Table.from_arrays([b.column("doc_id"), pa.array(n), pa.array(lt), pa.array(lb), pa.array(lb - lt)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"]))
+        return pa.concat_tables(out)
+
+    found = packed.select("block", "texts").mapInArrow(count, "slice long, block long, sent binary").groupBy("slice").applyInArrow(add, "slice long, block long, found binary")
+    kind = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
+    return packed.select("block", "texts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, kind)

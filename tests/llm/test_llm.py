@@ -258,6 +258,38 @@ def test_lm_scores(spark):
     assert r[1] > r[0]
 
 
+def test_lm_counts_are_exact(spark, monkeypatch):
+    """So many n-grams that a table of 2^20 slots would make them collide, over many blocks and slices, against brute force."""
+    from collections import Counter
+
+    monkeypatch.setattr(lm_scoring, "TEXT_BYTES", 1 << 16)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 1 << 13)
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)] + list("abcdefgh ")
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 400))) for _ in range(600)] + ["", None, "a", "zu \0\0"]
+    good = set(range(0, 600, 3))
+    model = [[Counter() for _ in range(4)] for _ in range(2)]
+    parts = lambda t: [(x[i : i + 5], x[i : i + 4], x[i + 2 : i + 5], x[i + 2 : i + 4]) for x in [b"\0" * 4 + (t or "").encode()] for i in range(len(x) - 4)]
+    for i, t in enumerate(texts):
+        for g in parts(t):
+            for m in model[: 2 if i in good else 1]:
+                for c, k in zip(m, g, strict=True):
+                    c[k] += 1
+    assert len(model[0][0]) > 250_000
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(len(texts))], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_scoring.score_by_models(d, labels).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        loss = []
+        for m in model:
+            p = [(m[0][g[0]] + 4 * (m[2][g[2]] + 4 / 256) / (m[3][g[3]] + 4)) / (m[1][g[1]] + 4) for g in parts(t)]
+            loss.append(-sum(np.log2(p)) / max(len(p), 1) if p else 0.0)
+        r = got[i]
+        assert r.n_tokens == len((t or "").encode())
+        assert (r.loss_background, r.loss_target, r.score) == pytest.approx((loss[0], loss[1], loss[0] - loss[1]), abs=1e-9)
+
+
 RUNS = {
     "rules": lambda d, x: quality_rules.quality_rules(d, x), "suffix": lambda d, x: suffix_dedup.remove_repeats(d), "join": lambda d, x: ngram_join.near_duplicates(d), "language": lambda d, x: language_id.identify(d),
     "packing": lambda d, x: packing.pack(d).select("doc_id").distinct(), "mixing": lambda d, x: mixing.mix_sources(d), "toxicity": lambda d, x: toxicity.score_toxicity(d, x),
