@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip), exact, as connected classes.
 
-Two documents link when 100 * intersection >= `PERCENT` * union of their sets of `SHINGLE`-word shingles.
+Two documents link when 100 * intersection >= `percent` * union of their sets of `shingle`-word shingles.
 
 1. Every whole text becomes a sorted set of 64-bit shingle hashes. Equal sets are one class; one document
    stands for each.
@@ -10,7 +10,7 @@ Two documents link when 100 * intersection >= `PERCENT` * union of their sets of
    of very common shingles (found in a bounded sample) are left out where enough others must agree too, so
    shared passages do not tie unrelated documents together.
 3. Inside a cluster, inverted lists over the shingles are searched for every document: a set of size a needs
-   T = ceil(PERCENT% of a) common shingles; the short lists are merged and counted, and documents that
+   T = ceil(percent% of a) common shingles; the short lists are merged and counted, and documents that
    reach T less the number of long lists are looked up in the long ones by binary search. Clusters larger
    than `BLOCK_DOCS` are cut into blocks that share a few pivots; what pivots and blocks leave
    unconnected is then searched against the other blocks of its cluster. A document that has too few shingles
@@ -24,7 +24,8 @@ Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import blocks, hash_words, materialise, mix, unit_hash, word_codes
 from .components import components
 
+#: What op3 takes for shingle size and percent; the defaults.
 SHINGLE, PERCENT = 4, 85
 BLOCK_DOCS, PIVOTS = 256, 4
 #: Documents sampled for common shingles, the share of them that makes a shingle common, and the most such shingles kept.
@@ -71,6 +73,7 @@ def shingle_sets(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return full, np.searchsorted(row, np.arange(n + 1))
 
 
+@cache
 def band_table(percent: int = PERCENT, top: int = 1 << 40) -> np.ndarray:
     """Lower bounds of the bands of sizes: linked sets lie in one band or in neighbouring ones."""
     low = [1]
@@ -79,23 +82,20 @@ def band_table(percent: int = PERCENT, top: int = 1 << 40) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-BANDS = band_table()
-
-
-def parts_of(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parts_of(slot: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Number of parts in a slot (bands `slot` and `slot` + 1) and how many must agree beyond the first."""
-    a = BANDS[slot + 1] - 1
-    b = a * 100 // PERCENT
-    most = (100 - PERCENT) * (a + b) // (100 + PERCENT)
+    a = band_table(percent)[slot + 1] - 1
+    b = a * 100 // percent
+    most = (100 - percent) * (a + b) // (100 + percent)
     slack = 1 + most // 16
     return most + 1 + slack, slack
 
 
-def signatures(flat: np.ndarray, off: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(flat: np.ndarray, off: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(set, part hash) of the parts by which a set is to be found."""
     n, size = len(off) - 1, np.diff(off)
     row = np.repeat(np.arange(n), size)
-    band = np.searchsorted(BANDS, size, side="right") - 1
+    band = np.searchsorted(band_table(percent), size, side="right") - 1
     rare = np.ones(len(flat), bool)
     if len(common):
         at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
@@ -105,7 +105,7 @@ def signatures(flat: np.ndarray, off: np.ndarray, common: np.ndarray) -> tuple[n
         for back in (0, 1):
             slot = band - back
             ok = (size > 0) & (slot >= 0)
-            parts, slack = parts_of(np.where(ok, slot, 0))
+            parts, slack = parts_of(np.where(ok, slot, 0), percent)
             parts = np.where(ok, parts, 0)
             base = np.concatenate(([0], np.cumsum(parts)))
             live = ok[row]
@@ -145,14 +145,14 @@ def _rows(*parts: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *(pa.array(c) for c in cols[1:])], names=["kind", "key", "a", "b", "n"])
 
 
-def find_candidates(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def find_candidates(docs: DataFrame, common: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of KIND: documents (a, n), candidate links and links of equal sets (a, b)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            flat, off = shingle_sets(b.column("text"))
+            flat, off = shingle_sets(b.column("text"), shingle)
             size = np.diff(off)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat), dtype=np.uint64)))
             print_ = mix((total[off[1:]] - total[off[:-1]]) ^ mix(size.astype(np.uint64)))
@@ -162,7 +162,7 @@ def find_candidates(docs: DataFrame, common: np.ndarray) -> DataFrame:
             starts = off[lead]
             n = size[lead]
             place = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            owner, key = signatures(flat[place], np.concatenate(([0], np.cumsum(n))), shared.value)
+            owner, key = signatures(flat[place], np.concatenate(([0], np.cumsum(n))), shared.value, percent)
             first, u, v = stars(key, ids[lead][owner])
             yield _rows(
                 (DOC, ids * 31 + size, ids, 0, size), (PART, key[first].view(np.int64), ids[lead][owner[first]], 0, 0),
@@ -191,14 +191,14 @@ def find_candidates(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.mapInArrow(scan, KIND).repartition(parts, "key").mapInArrow(meet, KIND)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of shingles that are common in a bounded sample of documents; only speed hangs on them."""
     n = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            kinds, times = np.unique(shingle_sets(b.column("text"))[0], return_counts=True)
+            kinds, times = np.unique(shingle_sets(b.column("text"), shingle)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(times)], names=["h", "n"])
 
     counts = docs.where(unit_hash("doc_id") < share).mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(6, int(COMMON_SHARE * min(n, SAMPLE_DOCS))))
@@ -291,43 +291,50 @@ def divide_skip(flat: np.ndarray, off: np.ndarray, label: np.ndarray, query: np.
     return found
 
 
-def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, query, target, set) of whole blocks -> verified links (a, b)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    doc, label, query, target = (t.column(c).to_numpy() for c in ("doc_id", "label", "query", "target"))
-    sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
-    links = divide_skip(flat, off, label, query.astype(bool), target=target.astype(bool))
-    a, b = (np.array([doc[p[i]] for p in links], np.int64) for i in (0, 1))
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def search_at(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, label, query, target, set) of whole blocks -> verified links (a, b)."""
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        doc, label, query, target = (t.column(c).to_numpy() for c in ("doc_id", "label", "query", "target"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
+        links = divide_skip(flat, off, label, query.astype(bool), percent, target=target.astype(bool))
+        a, b = (np.array([doc[p[i]] for p in links], np.int64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return search
 
 
-def _as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in blocks(batches, "text"):
-        flat, off = shingle_sets(b.column("text"))
-        raw = [flat[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        keep = [c for c in b.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(raw, pa.binary())], names=[*keep, "shingles"])
+def sets_at(shingle: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            flat, off = shingle_sets(b.column("text"), shingle)
+            raw = [flat[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            keep = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(raw, pa.binary())], names=[*keep, "shingles"])
+
+    return as_sets
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for every document."""
+    search, as_sets = search_at(percent), sets_at(shingle)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = all_.where("doc_id is not null")
-    rows = materialise(find_candidates(d, common_shingles(d)))
+    rows = materialise(find_candidates(d, common_shingles(d, shingle), shingle, percent))
     same = rows.where(F.col("kind") == SAME).select("a", "b")
     cluster = components(rows.where(F.col("kind") == LINK).select("a", "b"))
     # of equal sets one document is searched for
     members = materialise(cluster.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
     counts = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int"))
     members = members.join(counts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(F.col("node").alias("doc_id"), "component", "blocks", "block")
-    sets = materialise(d.join(members, "doc_id").mapInArrow(_as_sets, "doc_id long, component long, blocks int, block int, shingles binary"))
+    sets = materialise(d.join(members, "doc_id").mapInArrow(as_sets, "doc_id long, component long, blocks int, block int, shingles binary"))
     big = sets.where("blocks > 1")
     chosen = big.groupBy("component").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id"))["doc_id"].alias(f"p{k}") for k in range(PIVOTS)))
     chosen = chosen.select("component", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("doc_id"))
@@ -335,7 +342,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     local = sets.union(pivots.select(sets.columns)).select("doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("query"), F.lit(True).alias("target"), "shingles", "component", "block")
     kind = "a long, b long"
-    links = materialise(local.repartition(parts, "component", "block").drop("component", "block").mapInArrow(_search, kind).union(same))
+    links = materialise(local.repartition(parts, "component", "block").drop("component", "block").mapInArrow(search, kind).union(same))
     if not big.isEmpty():
         joined = components(links)
         state = materialise(big.join(joined.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
@@ -347,11 +354,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             ask = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             pick = lambda x, ask_: x.select("doc_id", "label", F.lit(ask_).alias("query"), F.lit(not ask_).alias("target"), "shingles", "component", "block")
             touched = state.join(each(rest.select("component", "blocks").distinct()), ["component", "block"], "left_semi")
-            more = pick(touched, False).union(pick(ask, True)).repartition(parts, "component", "block").drop("component", "block").mapInArrow(_search, kind)
+            more = pick(touched, False).union(pick(ask, True)).repartition(parts, "component", "block").drop("component", "block").mapInArrow(search, kind)
             links = links.union(materialise(more))
     final = components(links)
     found = rows.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     out = found.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    nulls = all_.where("doc_id is null").mapInArrow(_as_sets, "doc_id long, shingles binary").select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    nulls = all_.where("doc_id is null").mapInArrow(as_sets, "doc_id long, shingles binary").select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.union(nulls)

@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, stays of each class of linked documents."""
-    classes = ngram_join.near_duplicates(docs)
+    """One document, that of the smallest doc_id, stays of each class of documents linked by 5-word shingles at similarity 0.8."""
+    classes = ngram_join.near_duplicates(docs, shingle=5, percent=80)
     extra = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(extra, "doc_id", "left_anti").select(COLUMNS)
 

@@ -320,3 +320,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert out.count() > 0 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
     kept = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() < docs.count()
+
+
+def test_pipeline_links_five_words_at_80_percent(spark):
+    """The stage against brute force, with copies that 4-word shingles at 85 % do not link."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    docs = corpus(rng, 150)
+    for i in range(12):
+        w = rng.choices(VOCABULARY, k=60)
+        docs += [(500 + 2 * i, " ".join(w)), (501 + 2 * i, " ".join(w + [f"new{i}x{k}" for k in range(i + 4)]))]
+    sets = {}
+    for d, t in docs:
+        w = re.sub("[A-Z]", lambda x: x.group().lower(), t).split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    assert any(0.8 <= len(sets[500 + 2 * i]) / len(sets[501 + 2 * i]) < 0.84 for i in range(12))
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    d = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], DOCS).repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == sorted(x for x in sets if find(x) == x)
