@@ -38,6 +38,8 @@ SPAN = LENGTH - GRAM + 1
 #: Bytes of text per bucket, the most ranges that splitters make, and the longest piece of a text taken at once.
 BUCKET_BYTES, MAX_RANGES, SEGMENT = 12 << 20, 50_000, 2 << 20
 BLOCK = 3 << 20
+#: Low bits of a window's key that hold its place; texts are taken in groups of no more bytes than that.
+PLACE_BITS = 24
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,11 +55,24 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: first window, windows, anchor; all as places in `data`. off: the texts' bounds."""
+    found, k = [], 0
+    while k < len(off) - 1:
+        end = int(np.searchsorted(off, off[k] + (1 << PLACE_BITS), side="right")) - 1
+        if end <= k:
+            raise ValueError(f"a piece of {off[k + 1] - off[k]} bytes has places beyond {PLACE_BITS} bits")
+        first, count, anchor = _runs(data[off[k] : off[end]], off[k : end + 1] - off[k])
+        found.append((first + off[k], count, anchor + off[k]))
+        k = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for texts of at most 2 ** PLACE_BITS bytes together."""
     none = np.zeros(0, np.int64)
     size = np.diff(off)
     if not (size >= LENGTH).any():
         return none, none, none
-    low = np.uint64((1 << 24) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     with np.errstate(over="ignore"):
         key = (rolling(data) & ~low) | np.arange(len(data), dtype=np.uint64)
     width = 1

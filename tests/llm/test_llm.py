@@ -101,6 +101,36 @@ def test_overloaded_anchors_and_segments_give_the_same(spark):
     assert want[0] and spans(every) == want
 
 
+def test_places_beyond_the_bits_of_a_key(spark, monkeypatch):
+    """A text longer than the places that a key holds loses its repeats like any other."""
+    rng = random.Random(13)
+    parts = ["".join(rng.choices("abcdefghij ", k=300)) for _ in range(60)]
+    docs = [(1, "".join(parts)), (2, "".join(rng.choices("abcdefghij ", k=500)) + parts[55] + parts[58]), (3, "".join(parts[::-1]) + parts[57])]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 10)
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 12, raising=False)
+    d = pa.RecordBatch.from_arrays([pa.array([x[0] for x in docs])] * 2 + [pa.array([x[1] for x in docs])], names=["ord", "rid", "text"])
+    by: dict = {}
+    for b, k, raw in suffix_dedup._split(d, (np.array([b"c", b"f"], "S16"), np.zeros(0, "S16"), 3, 1)):
+        by.setdefault(b, []).append((k, raw))
+    spans = suffix_dedup.union(*(np.concatenate([x[i] for x in [suffix_dedup._bucket(v) for v in by.values()]]) for i in range(3)))
+    got = {i: np.zeros(len(t), bool) for i, t in docs}
+    for r, s, e in zip(*(x.tolist() for x in spans), strict=True):
+        got[r][s:e] = True
+    seen: dict = {}
+    for i, t in docs:
+        want = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            if seen.setdefault(t[p : p + 100], (i, p)) < (i, p):
+                want[p : p + 100] = True
+        assert (got[i] == want).all() and (i == 1 or want.sum() >= 600)
+
+
+def test_anchors_beyond_16_mib():
+    data = np.random.default_rng(18).integers(97, 107, 17 << 20, np.uint8)
+    first, count, anchor = suffix_dedup.runs(data, np.append(np.arange(0, len(data), 1 << 20), len(data)))
+    assert (anchor >= first + count - 1).all() and (anchor < first + suffix_dedup.SPAN).all()
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(0)
     t = rng.integers(0, 3, (200, 3)).astype(np.uint64)
