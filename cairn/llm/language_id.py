@@ -3,12 +3,13 @@
 Per language a suffix automaton of labelled text recognises every substring of that text. A document is
 cut greedily into phrases, each the longest match in the automaton from where the last one ended; with c
 phrases over n letters and a training text of length m the cross-entropy estimate is c * log2(m) / n, and
-the language that needs the fewest phrases so normalised wins. An automaton is a dense table (state,
-symbol) -> (next state, phrase ended), so a whole block of documents is parsed in lockstep; texts are
-laid out in pieces of `PIECE` symbols, each starting a phrase of its own, for every language alike.
+the language that needs the fewest phrases so normalised wins. Every letter of the training text is a symbol
+of its own, whatever the scripts. An automaton is a table (state, symbol) -> next state, dense for small
+alphabets and hashed for large ones, so a whole block of documents is parsed in lockstep; texts are laid out in pieces of `PIECE` symbols, each starting a phrase of its own, for every language alike.
 
-The training text is a bounded sample: up to `MAX_CHARS` characters per language from documents outside
-the held-out fold with a language, chosen by hash of doc_id. Only the text is used to predict.
+All languages are learned. The training text is a bounded sample: up to `MAX_CHARS` characters per language
+(less, but at least `LEAST_CHARS`, if that made more than `ALL_CHARS`) from documents outside the held-out fold
+with a language, chosen by hash of doc_id. Only the text is used to predict.
 
 Nulls and empties: a null text, or one without a letter, is `und` with score 0, as is every text when
 nothing could be learned. Ties go to the language that sorts first. Repeated rows get equal results.
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import as_large, blocks, held_out, segment_sum, unit_hash
 
-#: Characters and documents of training text per language, languages at most (the most frequent), symbols of the alphabet, letters a piece.
-MAX_CHARS, MAX_DOCS, MAX_LANGUAGES, SYMBOLS, PIECE = 50_000, 200, 256, 48, 256
+#: Characters and documents of training text per language, letters a piece.
+MAX_CHARS, MAX_DOCS, PIECE = 50_000, 200, 256
+#: Characters of all languages together, and the fewest per language.
+ALL_CHARS, LEAST_CHARS = 5_000_000, 1000
+#: The most cells of a dense table of (state, symbol).
+CELLS = 4_000_000
 
 
 def fold_table() -> np.ndarray:
@@ -73,19 +78,55 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def dense(nxt: list[dict[int, int]]) -> np.ndarray:
-    """(state * SYMBOLS + symbol) -> next state * SYMBOLS * 2 + 1 if the symbol starts a new phrase; symbol 0 is padding."""
-    states = len(nxt)
-    table = np.full((states, SYMBOLS), -1, np.int64)
-    for s, edges in enumerate(nxt):
-        for ch, t in edges.items():
-            table[s, ch] = t
-    root = np.where(table[0] >= 0, table[0], 0)  # a symbol that the text lacks is a phrase of its own
-    out = np.where(table >= 0, table * 2 * SYMBOLS, root[None, :] * 2 * SYMBOLS + 1)
-    out[:, 0] = np.arange(states) * 2 * SYMBOLS
-    out[0] = np.where(table[0] >= 0, root * 2 * SYMBOLS + 1, 1)  # from the root every symbol starts a phrase
-    out[0, 0] = 0
-    return out.astype(np.int32).ravel()
+class Edges:
+    """The transitions of an automaton: a dense table where that has at most `CELLS` cells; else those of the root by symbol, all others in a hash table with open addressing."""
+
+    def __init__(self, nxt: list[dict[int, int]], symbols: int):
+        self.symbols = symbols
+        self.root = np.zeros(symbols, np.int32)  # a symbol that the text lacks is a phrase of its own
+        for ch, t in nxt[0].items():
+            self.root[ch] = t
+        self.dense = None
+        if len(nxt) * symbols <= CELLS:  # next state * 2 + 1 if the symbol starts a new phrase
+            table = np.tile(self.root * 2 + 1, (len(nxt), 1))
+            for s, edges in enumerate(nxt):
+                for ch, t in edges.items() if s else ():
+                    table[s, ch] = t * 2
+            self.dense = table.ravel()
+            return
+        key = np.array([s * symbols + ch for s, edges in enumerate(nxt) if s for ch in edges], np.int64)
+        to = np.array([t for s, edges in enumerate(nxt) if s for t in edges.values()], np.int32)
+        self.bits = max(4, int(2 * len(key)).bit_length())
+        self.key, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at = self.slot(key)
+        while len(key):
+            free = np.flatnonzero(self.key[at] < 0)
+            _, lead = np.unique(at[free], return_index=True)
+            put = free[lead]
+            self.key[at[put]], self.to[at[put]] = key[put], to[put]
+            left = np.ones(len(key), bool)
+            left[put] = False
+            key, to, at = key[left], to[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and which symbols start a new phrase: where there is no transition, and always from the root."""
+        if self.dense is not None:
+            v = self.dense[state * self.symbols + sym]
+            return v >> 1, v & 1
+        key = state.astype(np.int64) * self.symbols + sym
+        at = self.slot(key)
+        seen = self.key[at]
+        new = seen != key
+        open_ = np.flatnonzero(new & (seen >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            seen = self.key[at[open_]]
+            new[open_] = seen != key[open_]
+            open_ = open_[(seen != key[open_]) & (seen >= 0)]
+        return np.where(new, self.root[sym], self.to[at]), new
 
 
 class Languages:
@@ -94,15 +135,11 @@ class Languages:
         self.names = sorted(texts)
         coded = {k: squeeze(table[np.frombuffer(texts[k].encode("utf-32-le", "replace"), np.uint32)], None)[0] for k in self.names}
         every = np.concatenate([*coded.values(), np.zeros(0, np.uint32)])
-        kinds, times = np.unique(every[every != 32], return_counts=True)
-        letters = kinds[np.argsort(-times, kind="stable")][: SYMBOLS - 3]
-        symbol = np.where(table == 32, 1, 2).astype(np.uint8)  # 0 padding, 1 no letter, 2 any other letter
-        for k, c in enumerate(letters, 3):
-            symbol[table == c] = k
-        self.symbol = symbol
-        small = np.full(0x110000, 2, np.uint8)
+        letters = np.unique(every[every != 32])
+        small = np.full(0x110000, 2, np.int32)  # 1 no letter, 2 a letter that no training text has
         small[32], small[letters] = 1, np.arange(3, 3 + len(letters))
-        self.tables = [dense(automaton(small[coded[k]].tolist())) for k in self.names]
+        self.symbol = small[table]
+        self.tables = [Edges(automaton(small[coded[k]].tolist()), 3 + len(letters)) for k in self.names]
         self.bits = np.array([np.log2(max(len(coded[k]), 2)) for k in self.names])
 
     def phrases(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,9 +165,8 @@ class Languages:
                 n = running[step]
                 if not n:
                     break
-                v = t[state[:n] + sym[start[:n] + step]]
-                count[:n] += v & 1
-                state[:n] = v >> 1
+                state[:n], new = t.step(state[:n], sym[start[:n] + step])
+                count[:n] += new
             found[:, k] = np.bincount(doc, count, minlength=len(size))
         return found, size, letters
 
@@ -158,20 +194,21 @@ def squeeze(sym: np.ndarray, off: np.ndarray | None, gap: int = 32) -> tuple[np.
 
 def fit(docs: DataFrame) -> Languages:
     known = docs.where("lang is not null and text is not null").where(~held_out("doc_id")).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return Languages({})
+    most = max(LEAST_CHARS, min(MAX_CHARS, ALL_CHARS // len(counts)))
     # the shares are literals of the scan's filter, so no text is shuffled; about MAX_DOCS pieces of text per language reach the driver
     share_of = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, MAX_DOCS / r["count"]))))
     chosen = known.where(unit_hash("doc_id") < F.coalesce(F.try_element_at(share_of, F.col("lang")), F.lit(0.0)))
-    rows = chosen.select("doc_id", F.col("lang"), F.left("text", F.lit(MAX_CHARS)).alias("text")).toArrow().sort_by("doc_id").to_pylist()
+    rows = chosen.select("doc_id", F.col("lang"), F.left("text", F.lit(most)).alias("text")).toArrow().sort_by("doc_id").to_pylist()
     texts: dict[str, str] = {}
     share: dict[str, int] = {}
     for r in rows:
         share[r["lang"]] = share.get(r["lang"], 0) + 1
     for r in rows:
-        part = max(1000, 2 * MAX_CHARS // share[r["lang"]])
-        texts[r["lang"]] = (texts.get(r["lang"], "") + "\n" + r["text"][:part])[:MAX_CHARS]
+        part = max(1000, 2 * most // share[r["lang"]])
+        texts[r["lang"]] = (texts.get(r["lang"], "") + "\n" + r["text"][:part])[:most]
     return Languages(texts)
 
 

@@ -204,6 +204,43 @@ def test_automaton_parses_like_the_definition():
     assert (found >= 1).all()
 
 
+def test_letters_of_large_scripts_stay_apart():
+    """Languages that share a script of 2000 letters but not its words, beside alphabets."""
+    rng = random.Random(16)
+    words = {k: ["".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(2)) for _ in range(400)] for k in ("ja", "zh")}
+    words |= {k: ["".join(chr(low + rng.randrange(24)) for _ in range(4)) for _ in range(200)] for k, low in (("el", 0x3B1), ("ru", 0x430), ("th", 0xE01))}
+    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    m = language_id.Languages({k: text(k, 3000) for k in words})
+    asked = [(k, text(k, 30)) for k in words for _ in range(20)]
+    assert m.predict(pa.array([t for _, t in asked]))[0] == [k for k, _ in asked]
+
+
+@pytest.mark.parametrize("cells", [0, 4_000_000])
+def test_phrases_by_the_definition(monkeypatch, cells):
+    """Greedy longest matches, by hashed and by dense tables."""
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    rng = random.Random(17)
+    train = {"a": "".join(rng.choices("abcd ", k=300)), "b": "".join(chr(0x4E00 + rng.randrange(90)) for _ in range(300))}
+    m = language_id.Languages(train)
+    texts = ["".join(rng.choices("abcdeg " + train["b"][:60], k=rng.randint(1, 250))) for _ in range(30)] + [t[40:200] for t in train.values()]
+    found, _, _ = m.phrases(pa.array(texts))
+    for k, name in enumerate(m.names):
+        known = re.sub(" +", " ", train[name])
+        for i, t in enumerate(texts):
+            t, n, at = re.sub(" +", " ", t), 0, 0
+            while at < len(t):
+                end = at + 1
+                while end < len(t) and t[at : end + 1] in known:
+                    end += 1
+                at, n = end, n + 1
+            assert found[i, k] == n
+
+
+def test_all_languages_are_learned(spark):
+    d = spark.createDataFrame([(i, f"wort{i % 260} text", f"l{i % 260:03}", "a", 9) for i in range(260 * 8)], DOCS)
+    assert len(language_id.fit(d).names) == 260
+
+
 def test_languages_held_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     r = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
