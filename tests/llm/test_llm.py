@@ -417,3 +417,18 @@ def test_pipeline_links_five_words_at_80_percent(spark):
                 up[max(x, y)] = min(x, y)
     d = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], DOCS).repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == sorted(x for x in sets if find(x) == x)
+
+
+def test_mix_keeps_null_ids_and_sources_apart(spark):
+    """Each row comes as often as mix_sources draws it, also without a doc_id or source, or with its doc_id in two sources."""
+    from collections import Counter
+
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    rows = [(rng.choice([None, i, i // 2]), f"t{i} " + "x " * rng.randint(0, 30), "en", rng.choice(["a"] * 12 + ["b", None]), 0) for i in range(300)]
+    d = spark.createDataFrame(rows, DOCS)
+    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix_sources(d).collect()}
+    want = Counter({(i, t, s): copies[i, s] for i, t, _, s, _ in rows if copies[i, s]})
+    assert any(k[0] is None for k in want) and len(set(want.values())) > 1
+    assert Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix(spark, d, "").collect()) == want
