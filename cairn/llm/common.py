@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where the session names none, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). In local mode, as in tests, one of our own where the session names none; on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
     return named
@@ -53,6 +58,36 @@ def discard(*tables: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def finished(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The result as a table of its own, and the larger tables that it came from deleted."""
+    out = materialise(result)
+    discard(*tables)
+    return out
+
+
+def release() -> None:
+    """Give back to the system what this worker has freed; a reused worker otherwise keeps the most that any of its tasks held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker holds no memory beyond its task."""
+
+    @functools.wraps(run)
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def fold(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 3; fold 1 is held out everywhere (null: fold 0)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -134,3 +169,31 @@ def segment_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sums of the runs that `off` delimits; empty runs give 0."""
     total = np.concatenate((np.zeros(1, np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
     return total[off[1:]] - total[off[:-1]]
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """One-dimensional arrays as bytes: per array a letter for its type and its length, then all items; compressed where that pays."""
+    head = bytes([len(arrays)]) + b"".join(a.dtype.str[1:].encode().ljust(3) + len(a).to_bytes(8, "little") for a in arrays)
+    raw = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    if len(raw) < 300:
+        return b"-" + raw
+    import zstandard
+
+    return b"z" + zstandard.compress(raw, 3)
+
+
+def unpack_arrays(raw: bytes) -> list[np.ndarray]:
+    """The arrays of pack_arrays, read-only."""
+    kind, raw = raw[:1], raw[1:]
+    if kind == b"z":
+        import zstandard
+
+        raw = zstandard.decompress(raw)
+    n, out = raw[0], []
+    at = 1 + 11 * n
+    for k in range(n):
+        dtype = np.dtype(raw[1 + 11 * k : 4 + 11 * k].decode().strip())
+        size = int.from_bytes(raw[4 + 11 * k : 12 + 11 * k], "little")
+        out.append(np.frombuffer(raw, dtype, size, at))
+        at += size * dtype.itemsize
+    return out

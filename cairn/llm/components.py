@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, lean, materialise
 
 #: So few edges are finished by union-find in one task; a fixed bound, whatever the input.
 SMALL = 200_000
@@ -54,14 +54,18 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         left = materialise(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         discard(e)
         e = left
-    roots = materialise(e.coalesce(1).mapInArrow(union_find, "node long, to long"))
+    roots = materialise(e.coalesce(1).mapInArrow(lean(union_find), "node long, to long"))
     discard(e)
     if not rounds:
-        return roots.withColumnRenamed("to", "component")
+        out = roots.withColumnRenamed("to", "component")
+        out._cairn_path = roots._cairn_path
+        return out
     for to in reversed(rounds):
         last = roots.select(F.col("node").alias("to"), F.col("to").alias("end"))
         out = materialise(to.join(last, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
         discard(to, roots)
         roots = out
     least = roots.groupBy("to").agg(F.min("node").alias("component"))
-    return materialise(roots.join(least, "to").select("node", "component"))
+    out = materialise(roots.join(least, "to").select("node", "component"))
+    discard(roots)
+    return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, unit_hash
+from .common import lean, materialise, unit_hash
 from .components import components
 
 THRESHOLD, PROBES, BLOCK, SAMPLE = 0.95, 12, 1024, 20_000
@@ -143,7 +143,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             near = nearest(x / np.linalg.norm(x, axis=1, keepdims=True), index.value.centroids, min(PROBES, k))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("m"), b.column("e"), pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.ravel().astype(np.int32)))], names=["rep", "m", "e", "near"])
 
-    placed = materialise(reps.mapInArrow(place, "rep long, m long, e array<double>, near array<int>"))
+    placed = materialise(reps.mapInArrow(lean(place), "rep long, m long, e array<double>, near array<int>"))
     home = placed.select("rep", "m", "e", F.get("near", F.lit(0)).alias("list"))
     sizes = home.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     home = home.join(sizes, "list").select("list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "m", "e", F.lit(False).alias("asks"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_large, blocks, held_out, segment_sum, unit_hash
+from .common import as_large, blocks, held_out, lean, segment_sum, unit_hash
 
 #: Characters and documents of training text per language, letters a piece.
 MAX_CHARS, MAX_DOCS, PIECE = 50_000, 200, 256
@@ -221,5 +221,5 @@ def identify(docs: DataFrame) -> DataFrame:
             names, score = model.predict(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double")
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

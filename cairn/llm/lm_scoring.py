@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_buffer, materialise, mix, segment_sum
+from .common import blocks, byte_buffer, lean, materialise, mix, segment_sum
 
 #: Bytes of text in a block and for each slice of the counts, and the fewest slices.
 TEXT_BYTES, SLICE_BYTES, SLICES, DISCOUNT = 8 << 20, 8 << 20, 64, 4.0
@@ -119,7 +119,7 @@ def score_by_models(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id", F.lit(True).alias("good"))
     marked = text.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("target"))
-    packed = materialise(marked.mapInArrow(_texts, "block long, n_bytes long, n_target long, texts binary"))
+    packed = materialise(marked.mapInArrow(lean(_texts), "block long, n_bytes long, n_target long, texts binary"))
     size, taught = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
     slices = max(SLICES, -(-size // SLICE_BYTES))
 
@@ -168,6 +168,6 @@ def score_by_models(docs: DataFrame, labels: DataFrame) -> DataFrame:
             out.append(pa.Table.from_arrays([b.column("doc_id"), pa.array(n), pa.array(lt), pa.array(lb), pa.array(lb - lt)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"]))
         return pa.concat_tables(out)
 
-    found = packed.select("block", "texts").mapInArrow(count, "slice long, block long, sent binary").groupBy("slice").applyInArrow(add, "slice long, block long, found binary")
+    found = packed.select("block", "texts").mapInArrow(lean(count), "slice long, block long, sent binary").groupBy("slice").applyInArrow(add, "slice long, block long, found binary")
     kind = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
     return packed.select("block", "texts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, kind)

@@ -6,8 +6,9 @@ no sequence crosses documents, none needs padding, and equal lengths can be batc
 (length) is a column and sequence ids are numbered so that a scan's sequences of one bucket are adjacent.
 
 Tokens are those of a public tokenizer over the whole text, with the end id appended; the tokenizer's
-file is a parameter. The tokenizer's words never cross white space, so ids are looked up by
-white-space-separated piece, and only pieces not met before are tokenised.
+file is a parameter. Where its words are those of `RULES`, which never cross white space, ids are looked up
+by white-space-separated piece, and only pieces not met before are tokenised; any other tokenizer gets
+whole texts.
 
 Nulls: a null text is empty and yields one piece, the end id; a null doc_id stays null. Repeated rows are
 packed once each. Further columns are ignored.
@@ -15,6 +16,7 @@ packed once each. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_buffer
+from .common import blocks, byte_buffer, lean
 
 MAX_LENGTH, END_ID = 4096, 2
-#: Pieces of text, and words within them, whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Pieces of text, and words within them, whose ids a task remembers.
+REMEMBERED = 250_000
+#: The normaliser and the word pattern under which pieces between white space can be tokenised by themselves.
+RULES = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of ASCII and plain Latin letters need no Unicode tables to be cut into words as the tokenizer does; others go through it whole.
 PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017f0-9]+")
@@ -53,11 +57,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = self.has_rules(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.known: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    @staticmethod
+    def has_rules(spec: dict) -> bool:
+        steps = (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers")
+        return steps[0] == RULES[0] and [x["type"] for x in steps[1] or []] == ["Split", "ByteLevel"] and steps[1][0]["pattern"] == {"Regex": RULES[1]}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
@@ -72,9 +85,11 @@ class Encoder:
         text = raw.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.word, WORDS.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.whole(text)
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_piece:
+            return [self.whole(t.decode("utf-8", "replace")) for t in texts]
         known, out = self.known, []
         for t in texts:
             pieces = t.split()
@@ -88,16 +103,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """One encoder a worker process, so that later tasks find what earlier ones remembered."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def lengths(total: int) -> list[int]:
     """The pieces of a document of `total` ids, in order."""
     rest = total % MAX_LENGTH
@@ -112,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
         import public_tokenizers
         from pyspark import TaskContext
 
-        encoder = encoder_of(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = Encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         sequence = TaskContext.get().partitionId() << 40
         for b in blocks(batches, "text"):
             data, off = byte_buffer(b.column("text"))
@@ -141,4 +146,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCHEMA + ", ids array<int>" * with_ids)

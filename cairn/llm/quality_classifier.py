@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_buffer, held_out, materialise, segment_sum, word_codes
+from .common import blocks, byte_buffer, finished, held_out, lean, materialise, segment_sum, word_codes
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&", "bar": b"|<>", "shout": b"!?", "stop": b".,;:", "line": b"\n", "space": b" \t\x0b\x0c\r"}
 FEATURES = ("log_words", "log_word_bytes", "distinct", "adjacent", "top_word", "dup_lines", "long_words", *CLASSES)
@@ -52,12 +52,12 @@ def features(text: pa.Array) -> np.ndarray:
     out[:, 2], out[:, 3], out[:, 4] = distinct / some, np.sqrt(segment_sum(same, woff) / some), np.sqrt(top / some)
     out[:, 5] = np.sqrt(duplicate_lines(data, off))
     out[:, 6] = np.sqrt(segment_sum((length[codes] > 20).astype(np.int64), woff) / some)
-    group = np.zeros(256, np.int64)
+    group = np.zeros(256, np.uint8)
     for k, chars in enumerate(CLASSES.values(), 1):
         group[list(chars)] = k
     kind = group[data]
     at = np.flatnonzero(kind)
-    table = np.bincount(np.searchsorted(off, at, side="right").astype(np.int64) * 16 - 16 + kind[at], minlength=n * 16).reshape(-1, 16)[:n]
+    table = np.bincount(np.repeat(np.arange(n, dtype=np.int32) * 16, np.diff(off))[at] + kind[at], minlength=n * 16).reshape(-1, 16)[:n]
     out[:, 7:] = np.sqrt(table[:, 1 : 1 + len(CLASSES)] / size[:, None])
     return out
 
@@ -80,7 +80,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id bigint, x array<double>")
 
 
 class Discriminant:
@@ -129,7 +129,7 @@ def fit(rated: DataFrame, labels: DataFrame) -> Discriminant:
         rows = [(c, k, float(x)) for c, (n, s, ss) in sums.items() for k, x in enumerate([n, *s, *ss.ravel()])]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["c", "k", "v"])
 
-    got = rated.join(known, "doc_id").select("x", F.col("quality").cast("int").alias("quality")).mapInArrow(partial, "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
+    got = rated.join(known, "doc_id").select("x", F.col("quality").cast("int").alias("quality")).mapInArrow(lean(partial), "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
     moments = {}
     for c in {r["c"] for r in got if r["c"] in (0, 1)}:
         v = np.zeros(1 + width + width * width)
@@ -150,5 +150,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.score(np.array(b.column("x").flatten()).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
-    scored = rated.mapInArrow(run, "doc_id bigint, score double")
+    scored = rated.mapInArrow(lean(run), "doc_id bigint, score double")
+    scored = finished(scored, rated)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

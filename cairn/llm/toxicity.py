@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_words, held_out, unit_hash, word_codes
+from .common import blocks, hash_words, held_out, lean, unit_hash, word_codes
 
 BUCKETS, MAX_ROWS, MAX_TERMS, FACTORS, EPOCHS = 1 << 20, 12_000, 2_048, 8, 30
 THRESHOLD = 0.7
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     share = min(1.0, MAX_ROWS / max(known.count(), 1))
     chosen = known.where(unit_hash("doc_id") < share).limit(2 * MAX_ROWS)
     # at most 2 * MAX_ROWS ids, so the broadcast is bounded and no text is shuffled
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").mapInArrow(_as_terms, "doc_id bigint, y int, b array<int>").toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_as_terms), "doc_id bigint, y int, b array<int>").toArrow().sort_by("doc_id")
     lists = rows.column("b").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -140,5 +140,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(*terms(b.column("text"))))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id bigint, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
