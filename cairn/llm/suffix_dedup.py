@@ -9,7 +9,8 @@ neighbouring windows share one. A run moves once, with the bytes its windows spa
 1. A small sample gives splitters over the leading bytes of the anchors' suffixes, and the leading bytes
    so frequent that they would overload a bucket.
 2. Each block of documents finds its anchors, drops windows that repeat within the block, and sends every
-   run to the bucket of its range. Windows at overloaded anchors go out singly, by a hash of all their bytes.
+   run to the bucket of its range. Windows at overloaded anchors go out singly, by 128 bits of a hash of all
+   their bytes, and are settled in two steps: among groups of blocks first, then among the groups' first ones.
 3. A bucket sorts the suffixes at its anchors by multikey quicksort on 8-byte tokens, and what lies before
    the anchors likewise, backwards. Common-prefix lengths of neighbours then cut, for each offset of the
    anchor, classes of equal windows: equal to the right and to the left. All but a class's first repeat.
@@ -18,12 +19,14 @@ neighbouring windows share one. A run moves once, with the bytes its windows spa
 
 Nulls: a null text is empty; a null doc_id sorts first. Rows that repeat a doc_id and a text get the same
 result (neither is earlier); rows with one doc_id and different texts are ordered by start alone. Texts
-shorter than `LENGTH` stay whole. Very long texts are worked through in segments. Further columns pass.
+shorter than `LENGTH` stay whole. Very long texts are worked through in segments. An empty table gives no
+rows. Further columns are dropped unless named, and their names may be any.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_buffer, mix, unit_hash
+from .common import blocks, byte_buffer, lean, mix, pack_arrays, release, unit_hash, unpack_arrays
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -41,15 +44,17 @@ BLOCK = 3 << 20
 #: Low bits of a window's key that hold its place; texts are taken in groups of no more bytes than that.
 PLACE_BITS = 24
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+RUNS, WINDOWS, SPANS = 0, 1, 2
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
     """A mixed hash of the GRAM bytes from each position on (positions near the end hash what is there)."""
     h, power, width = data.astype(np.uint64) + np.uint64(1), PRIME, 1
-    while width < GRAM:
-        nxt = h * power
-        nxt[:-width] += h[width:]
-        h, power, width = nxt, power * power, 2 * width
+    with np.errstate(over="ignore"):
+        while width < GRAM:
+            nxt = h * power
+            nxt[:-width] += h[width:]
+            h, power, width = nxt, power * power, 2 * width
     return mix(h)
 
 
@@ -90,10 +95,14 @@ def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def token_matrix(data: np.ndarray, at: np.ndarray, size: np.ndarray, tokens: int, back: bool = False) -> np.ndarray:
     """Big-endian 8-byte tokens of the `size` bytes from `at` on (or before it, backwards); zeros beyond."""
-    col = np.arange(8 * tokens)
-    place = at[:, None] - 1 - col if back else at[:, None] + col
-    m = np.where(col < size[:, None], data[np.clip(place, 0, len(data) - 1)], 0).astype(np.uint8)
-    return np.ascontiguousarray(m).view(">u8").astype(np.uint64)
+    width = 8 * tokens
+    padded = np.concatenate((np.zeros(width, np.uint8), data, np.zeros(width, np.uint8)))
+    views = np.lib.stride_tricks.sliding_window_view(padded, width)
+    m = views[at] if back else views[at + width]
+    if back:
+        m = np.ascontiguousarray(m[:, ::-1])
+    m[np.arange(width, dtype=np.int16) >= np.asarray(size)[:, None].astype(np.int16)] = 0
+    return m.view(">u8").astype(np.uint64)
 
 
 def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,24 +218,8 @@ def window_hashes(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.n
     return a, b
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    import pickle
-
-    import zstandard
-
-    return zstandard.compress(pickle.dumps(arrays, 5), 3)
-
-
-def _unpack(raw: bytes) -> tuple:
-    import pickle
-
-    import zstandard
-
-    return pickle.loads(zstandard.decompress(raw))
-
-
 def _split(batch: pa.RecordBatch, plan: tuple[np.ndarray, np.ndarray, int, int]) -> Iterator[tuple[int, int, bytes]]:
-    """One block of documents -> (bucket, kind, payload). Kinds: 0 runs, 1 single windows, 2 spans found already."""
+    """One block of documents -> (bucket, kind, payload). Kinds: RUNS, WINDOWS at overloaded anchors (buckets from `ranges` * `parts` on), SPANS found already."""
     splitters, heavy, ranges, parts = plan
     total = ranges * parts
     data, off = byte_buffer(batch.column("text"))
@@ -247,7 +240,7 @@ def _split(batch: pa.RecordBatch, plan: tuple[np.ndarray, np.ndarray, int, int])
         d, s, e = union(who[hit], at, at + LENGTH)
         for b in np.flatnonzero(np.bincount(d % total)):
             m = d % total == b
-            yield int(b), 2, _pack(rid[d[m]], s[m], e[m])
+            yield int(b), SPANS, pack_arrays(ids[d[m]], rid[d[m]], s[m], e[m])
         touched = np.zeros(len(first), bool)
         touched[hit] = True
         n = np.where(touched, count, 0)
@@ -276,7 +269,7 @@ def _split(batch: pa.RecordBatch, plan: tuple[np.ndarray, np.ndarray, int, int])
         cut = np.searchsorted(to[order], np.arange(total + 1))
         for k in np.flatnonzero(np.diff(cut)):
             m = order[cut[k] : cut[k + 1]]
-            yield int(k), 1, _pack(a[m], b[m], ids[who[run[m]]], rid[who[run[m]]], pos[run[m]] + win[m] - first[run[m]])
+            yield int(k) + total, WINDOWS, pack_arrays(a[m], b[m], ids[who[run[m]]], rid[who[run[m]]], pos[run[m]] + win[m] - first[run[m]])
     order = np.flatnonzero(~much)
     order = order[np.argsort(bucket[order], kind="stable")]
     cut = np.searchsorted(bucket[order], np.arange(total + 1))
@@ -285,34 +278,49 @@ def _split(batch: pa.RecordBatch, plan: tuple[np.ndarray, np.ndarray, int, int])
         size = count[m] + LENGTH - 1
         place = np.repeat(first[m] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         docs, which = np.unique(who[m], return_inverse=True)
-        yield int(k), 0, _pack(own[place], count[m].astype(np.uint8), (anchor[m] - first[m]).astype(np.uint8), ids[docs], rid[docs], which.astype(np.uint32), pos[m])
+        yield int(k), RUNS, pack_arrays(own[place], count[m].astype(np.uint8), (anchor[m] - first[m]).astype(np.uint8), ids[docs], rid[docs], which.astype(np.uint32), pos[m])
+
+
+def later(windows: list) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Single windows (two hashes, ord, rid, place) of several payloads: which of them repeat an earlier one, and all, in order of documents."""
+    rows = [np.concatenate(c) for c in zip(*windows, strict=True)]
+    s = np.lexsort((rows[4], rows[2]))
+    a, b, doc, rid, pos = (x[s] for x in rows)
+    _, ka = np.unique(a, return_inverse=True)
+    _, kb = np.unique(b, return_inverse=True)
+    return first_only(ka.astype(np.int64) * (len(kb) + 1) + kb, doc, pos), [a, b, doc, rid, pos]
 
 
-def _bucket(payloads: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All that went to one bucket -> spans (rid, start, end)."""
+def _bucket(payloads: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs and spans that went to one bucket -> spans (ord, rid, start, end)."""
     none = np.zeros(0, np.int64)
-    got: dict[int, list] = {0: [], 1: [], 2: []}
-    for kind, raw in payloads:
-        got[kind].append(_unpack(raw))
-    spans = list(got[2]) or [(none, none, none)]
-    if got[1]:
-        a, b, doc, rid, pos = (np.concatenate(c) for c in zip(*got[1], strict=True))
-        s = np.lexsort((pos, doc))
-        a, b, doc, rid, pos = a[s], b[s], doc[s], rid[s], pos[s]
-        _, ka = np.unique(a, return_inverse=True)
-        _, kb = np.unique(b, return_inverse=True)
-        m = first_only(ka.astype(np.int64) * (len(kb) + 1) + kb, doc, pos)
-        spans.append((rid[m], pos[m], pos[m] + LENGTH))
-    if got[0]:
-        data, count, back, pos = (np.concatenate([g[i] for g in got[0]]) for i in (0, 1, 2, 6))
-        doc, rid = (np.concatenate([g[i][g[5]] for g in got[0]]) for i in (3, 4))
+    spans = [(none, none, none, none), *(unpack_arrays(raw) for kind, raw in payloads if kind == SPANS)]
+    got = [unpack_arrays(raw) for kind, raw in payloads if kind == RUNS]
+    if got:
+        data, count, back, pos = (np.concatenate([g[i] for g in got]) for i in (0, 1, 2, 6))
+        doc, rid = (np.concatenate([g[i][g[5]] for g in got]) for i in (3, 4))
+        del got
         count, back = count.astype(np.int64), back.astype(np.int64)
         size = count + LENGTH - 1
         first = np.cumsum(size) - size
         hit, place = repeated(data, first, count, first + back, doc, pos)
         at = pos[hit] + place - first[hit]
-        spans.append((rid[hit], at, at + LENGTH))
-    return union(*(np.concatenate([s[i] for s in spans]) for i in range(3)))
+        spans.append((doc[hit], rid[hit], at, at + LENGTH))
+    return union_by_document(spans)
+
+
+def union_by_document(spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of spans (ord, rid, start, end), document by document."""
+    doc, rid, start, end = (np.concatenate([np.asarray(s[i], np.int64) for s in spans]) for i in range(4))
+    if not len(doc):
+        return doc, rid, start, end
+    s = np.lexsort((rid, doc))
+    new = np.concatenate(([True], (doc[s][1:] != doc[s][:-1]) | (rid[s][1:] != rid[s][:-1])))
+    of = np.empty(len(s), np.int64)
+    of[s] = np.cumsum(new) - 1
+    lead = s[new]
+    k, start, end = union(of, start, end)
+    return doc[lead[k]], rid[lead[k]], start, end
 
 
 def _sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,56 +334,78 @@ def _sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([own[a : a + 16].tobytes() for a in anchor], pa.binary())], names=["lead"])
 
 
-def plan_of(d: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Splitters, overloaded leading bytes (both bounded by MAX_RANGES), ranges, and parts of each range."""
+def plan_of(d: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray, int, int], int]:
+    """Splitters, overloaded leading bytes (both bounded by MAX_RANGES), ranges, and parts of each range; groups of blocks for windows at overloaded anchors."""
     total, n = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(8, -(-total // BUCKET_BYTES))
     ranges, parts = min(buckets, MAX_RANGES), -(-buckets // MAX_RANGES)
     share = min(1.0, (3000 + 4 * ranges) / max(n, 1))
-    lead = np.array([bytes(r[0]) for r in d.where(unit_hash("rid") < share).select("text").mapInArrow(_sample, "lead binary").collect()], "S16")
+    lead = np.array([bytes(r[0]) for r in d.where(unit_hash("rid") < share).select("text").mapInArrow(lean(_sample), "lead binary").collect()], "S16")
     lead.sort()
     if not len(lead):
-        return np.zeros(0, "S16"), np.zeros(0, "S16"), ranges, parts
+        return (np.zeros(0, "S16"), np.zeros(0, "S16"), ranges, parts), 1
     kinds, times = np.unique(lead, return_counts=True)
     heavy = kinds[times >= max(4, len(lead) / (8 * ranges))]
     rest = lead[~np.isin(lead, heavy)]
     splitters = rest[(np.arange(1, ranges) * len(rest)) // ranges] if len(rest) else rest
-    return splitters, heavy, ranges, parts
+    return (splitters, heavy, ranges, parts), math.isqrt(total // BLOCK) + 1
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with a row key `rid`, and (rid, spans): the runs of bytes to remove, where there are any."""
+    """The documents with their row key (`ord`, `rid`), and (ord, rid, s, e): starts and ends of the bytes to remove, where there are any."""
     d = docs.withColumn("text", F.col("text").cast("string"))
-    d = d.withColumn("rid", F.xxhash64("doc_id", "text"))
-    keyed = d.select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), "text")
-    plan = plan_of(keyed)
+    d = d.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    keyed = d.select("rid", "ord", "text")
+    plan, salts = plan_of(keyed)
     shared = docs.sparkSession.sparkContext.broadcast(plan)
+    total = plan[2] * plan[3]
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
+            salt = abs(b.column("rid")[0].as_py()) % salts
             for bucket, kind, raw in _split(b, shared.value):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "kind", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([salt if kind == WINDOWS else 0], pa.int64()), pa.array([kind], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "salt", "kind", "payload"])
 
     bins = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def settle(table: pa.Table) -> pa.Table:
-        rid, s, e = _bucket(list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True)))
-        where = rid % bins  # what a bucket found goes on in a row per bin of documents
+    def dealt(rows: list[np.ndarray], where: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
         order = np.argsort(where, kind="stable")
         cut = np.searchsorted(where[order], np.arange(bins + 1))
-        some = np.flatnonzero(np.diff(cut))
-        picks = [order[cut[k] : cut[k + 1]] for k in some]
-        return pa.table([pa.array(some, pa.int32()), pa.array([_pack(rid[m], s[m], e[m]) for m in picks], pa.binary())], names=["bin", "payload"])
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            m = order[cut[k] : cut[k + 1]]
+            yield k, kind, pack_arrays(*(x[m] for x in rows))
+
+    def settle(table: pa.Table) -> pa.Table:
+        """What a bucket found goes on in a row per bin of documents; the windows that are still first, in one per bin of windows."""
+        raw = list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True))
+        out: list[tuple[int, int, bytes]] = []
+        if table.column("bucket")[0].as_py() >= total:
+            gone, rows = later([unpack_arrays(x) for _, x in raw])
+            if salts > 1:
+                out += [(bins + k, kind, x) for k, kind, x in dealt([x[~gone] for x in rows], (rows[0][~gone] % np.uint64(bins)).astype(np.int64), WINDOWS)]
+            doc, rid, pos = (x[gone] for x in rows[2:])
+            spans = union_by_document([(doc, rid, pos, pos + LENGTH)])
+        else:
+            spans = _bucket(raw)
+        out += dealt(list(spans), spans[1] % bins, SPANS)
+        release()
+        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bin", "kind", "payload"])
 
     def gather(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in table.column("payload").to_pylist()]
-        rid, s, e = union(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-        at = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1]))[: len(rid)])
+        parts = [unpack_arrays(x) for x in table.column("payload").to_pylist()]
+        if table.column("kind")[0].as_py() == WINDOWS:
+            gone, rows = later(parts)
+            doc, rid, pos = (x[gone] for x in rows[2:])
+            parts = [(doc, rid, pos, pos + LENGTH)]
+        doc, rid, s, e = union_by_document(parts)
+        at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])))[: len(rid)])
         off = pa.array(np.append(at, len(rid)), pa.int32())
-        return pa.table([pa.array(rid[at], pa.int64()), pa.ListArray.from_arrays(off, pa.array(s)), pa.ListArray.from_arrays(off, pa.array(e))], names=["rid", "s", "e"])
+        return pa.table([pa.array(doc[at], pa.int64()), pa.array(rid[at], pa.int64()), pa.ListArray.from_arrays(off, pa.array(s)), pa.ListArray.from_arrays(off, pa.array(e))], names=["ord", "rid", "s", "e"])
 
-    found = keyed.mapInArrow(split, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(settle, "bin int, payload binary")
-    return d, found.groupBy("bin").applyInArrow(gather, "rid long, s array<long>, e array<long>")
+    found = keyed.mapInArrow(lean(split), "bucket long, salt long, kind int, payload binary").groupBy("bucket", "salt").applyInArrow(settle, "bin long, kind int, payload binary")
+    spans = found.groupBy("bin").applyInArrow(gather, "ord long, rid long, s array<long>, e array<long>")
+    # a document has a row from the buckets' spans and some from windows settled last
+    return d, spans.groupBy("ord", "rid").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e"))
 
 
 def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -383,8 +413,8 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFra
     import zstandard
 
     columns = columns or ["doc_id"]
-    d, spans = with_spans(docs)
-    small = d.select(*columns, "rid", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    d, spans = with_spans(docs.select("text", *dict.fromkeys(["doc_id", *columns])))
+    small = d.select(*columns, "ord", "rid", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -408,5 +438,5 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFra
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in columns)
-    small = small.mapInArrow(squeeze, small.schema)
-    return small.join(spans, "rid", "left").mapInArrow(cut, kind + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    small = small.mapInArrow(lean(squeeze), small.schema)
+    return small.join(spans, ["ord", "rid"], "left").mapInArrow(lean(cut), kind + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
