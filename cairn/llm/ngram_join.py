@@ -8,7 +8,9 @@ Two documents link when 100 * intersection >= `percent` * union of their sets of
    H parts by hash, linked sets agree on whole parts. Equal parts among sets of similar size (neighbouring
    bands of sizes) are found by one shuffle of part hashes, and give candidate clusters. Parts made only
    of very common shingles (found in a bounded sample) are left out where enough others must agree too, so
-   shared passages do not tie unrelated documents together.
+   shared passages do not tie unrelated documents together. Clusters of more than `BLOCK_DOCS` documents are
+   taken apart: documents that share too few shingles with all others of theirs go, and the rest is tied anew
+   by parts dealt by another hash, as often as that helps.
 3. Inside a cluster, inverted lists over the shingles are searched for every document: a set of size a needs
    T = ceil(percent% of a) common shingles; the short lists are merged and counted, and documents that
    reach T less the number of long lists are looked up in the long ones by binary search. Clusters larger
@@ -29,15 +31,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_words, materialise, mix, unit_hash, word_codes
+from .common import blocks, discard, finished, hash_words, lean, materialise, mix, unit_hash, word_codes
 from .components import components
 
 #: What op3 takes for shingle size and percent; the defaults.
 SHINGLE, PERCENT = 4, 85
 BLOCK_DOCS, PIVOTS = 256, 4
+#: The most times that wide clusters are taken apart, and tasks that a cluster's documents are dealt to where they meet a row of their cluster's.
+ROUNDS, SALTS = 4, 32
+#: Edges held in a task before they go out, and documents held in a search before it runs.
+EDGES, HELD_DOCS = 500_000, 1024
 #: Documents sampled for common shingles, the share of them that makes a shingle common, and the most such shingles kept.
 SAMPLE_DOCS, COMMON_SHARE, MAX_COMMON = 20_000, 0.001, 200_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -73,6 +80,12 @@ def shingle_sets(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return full, np.searchsorted(row, np.arange(n + 1))
 
 
+def fingerprint(flat: np.ndarray, off: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A hash of each set."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat ^ seed), dtype=np.uint64)))
+    return mix((total[off[1:]] - total[off[:-1]]) ^ mix(np.diff(off).astype(np.uint64)))
+
+
 @cache
 def band_table(percent: int = PERCENT, top: int = 1 << 40) -> np.ndarray:
     """Lower bounds of the bands of sizes: linked sets lie in one band or in neighbouring ones."""
@@ -91,7 +104,7 @@ def parts_of(slot: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.n
     return most + 1 + slack, slack
 
 
-def signatures(flat: np.ndarray, off: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def signatures(flat: np.ndarray, off: np.ndarray, common: np.ndarray, percent: int = PERCENT, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(set, part hash) of the parts by which a set is to be found."""
     n, size = len(off) - 1, np.diff(off)
     row = np.repeat(np.arange(n), size)
@@ -110,7 +123,7 @@ def signatures(flat: np.ndarray, off: np.ndarray, common: np.ndarray, percent: i
             base = np.concatenate(([0], np.cumsum(parts)))
             live = ok[row]
             r, x = row[live], flat[live]
-            cell = base[r] + (mix(x + np.uint64(77)) % parts[r].astype(np.uint64)).astype(np.int64)
+            cell = base[r] + (mix(x + np.uint64(77 + seed)) % parts[r].astype(np.uint64)).astype(np.int64)
             weight = mix(x ^ np.uint64(0xABCDEF12345))
             both = np.zeros((2, base[-1]), np.uint64)
             np.add.at(both[0], cell, weight)
@@ -145,6 +158,44 @@ def _rows(*parts: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *(pa.array(c) for c in cols[1:])], names=["kind", "key", "a", "b", "n"])
 
 
+def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (key, kind, n, a): equal parts and equal sets are tied to the first document that has them."""
+    last, found, size = (None, None, None, 0), [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        edges = np.unique(np.concatenate(found), axis=0)
+        for i in range(0, len(edges), 50_000):
+            e = edges[i : i + 50_000]
+            yield _rows((e[:, 0], 0, e[:, 1], e[:, 2], 0))
+
+    for batch in batches:
+        kind, key, a, c, n = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(5))
+        tie = (kind == PART) | (kind == SAME) & (a == c)
+        if not tie.all():
+            yield _rows((kind[~tie], 0, a[~tie], c[~tie], n[~tie]))
+        kind, key, a, n = kind[tie], key[tie], a[tie], n[tie]
+        if not len(key):
+            continue
+        new = np.concatenate(([(key[0], kind[0], n[0]) != last[:3]], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (n[1:] != n[:-1])))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        lead = np.where(at < 0, last[3], a[at])
+        last = (key[-1], kind[-1], n[-1], lead[-1])
+        other = a != lead
+        found.append(np.stack((np.where(kind == PART, LINK, SAME), a, lead), 1)[other].astype(np.int64))
+        size += int(other.sum())
+        if size > EDGES:
+            yield from flush()
+            found, size = [], 0
+    if size:
+        yield from flush()
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """Rows of KIND with equal keys brought together: the ties of equal parts and sets, and all other rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "kind", "n", "a").mapInArrow(lean(meet), KIND)
+
+
 def find_candidates(docs: DataFrame, common: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of KIND: documents (a, n), candidate links and links of equal sets (a, b)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -154,10 +205,10 @@ def find_candidates(docs: DataFrame, common: np.ndarray, shingle: int = SHINGLE,
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             flat, off = shingle_sets(b.column("text"), shingle)
             size = np.diff(off)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat), dtype=np.uint64)))
-            print_ = mix((total[off[1:]] - total[off[:-1]]) ^ mix(size.astype(np.uint64)))
+            print_, second = (fingerprint(flat, off, np.uint64(k)) for k in (0, 0x5851F42D4C957F2D))
             some = np.flatnonzero(size > 0)
-            lead, x, y = stars(print_[some], ids[some])
+            _, equal = np.unique(np.stack((print_, second), 1)[some], axis=0, return_inverse=True)
+            lead, x, y = stars(equal.ravel(), ids[some])
             lead = some[lead]  # one document for each set of this block goes on
             starts = off[lead]
             n = size[lead]
@@ -166,29 +217,52 @@ def find_candidates(docs: DataFrame, common: np.ndarray, shingle: int = SHINGLE,
             first, u, v = stars(key, ids[lead][owner])
             yield _rows(
                 (DOC, ids * 31 + size, ids, 0, size), (PART, key[first].view(np.int64), ids[lead][owner[first]], 0, 0),
-                (LINK, u, u, v, 0), (SAME, x, x, y, 0), (SAME, print_[lead].view(np.int64), ids[lead], ids[lead], 0),
+                (LINK, u, u, v, 0), (SAME, x, x, y, 0), (SAME, print_[lead].view(np.int64), ids[lead], ids[lead], second[lead].view(np.int64)),
             )
 
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {PART: [], SAME: []}
+    return met(docs.mapInArrow(lean(scan), KIND))
+
+
+def spread_join(docs: DataFrame, clusters: DataFrame, how: str = "inner") -> DataFrame:
+    """Documents with what is known of their clusters; a wide cluster's documents are dealt to `SALTS` tasks."""
+    salted = clusters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, ["component", "salt"], how).drop("salt")
+
+
+def refine(wide: DataFrame, common: np.ndarray, percent: int, seed: int) -> DataFrame:
+    """(doc_id, component, shingles) of wide clusters -> the same in narrower ones; no link is lost.
+
+    A document most of whose shingles no other document of its cluster has is linked with nothing. The others are
+    tied anew by equal parts, dealt by another hash: chance ties, of documents that share a passage, rarely occur twice.
+    """
+    shared = wide.sparkSession.sparkContext.broadcast(common)
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.binary_length(b.column("shingles")).to_numpy() // 8
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                flat = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
+                each = [pa.array(np.repeat(part.column(c).to_numpy(), n[i : i + 256])) for c in ("component", "doc_id")]
+                yield pa.RecordBatch.from_arrays([each[0], pa.array(flat), each[1]], names=["component", "shingle", "doc_id"])
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, key, a, c, n = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(5))
-            for k in (PART, SAME):
-                m = (kind == k) & ((k == PART) | (a == c))
-                kept[k].append((key[m], a[m]))
-            m = (kind == DOC) | (kind == LINK) | (kind == SAME) & (a != c)
-            if m.any():
-                yield _rows((kind[m], 0, a[m], c[m], n[m]))
-        for k, rows in kept.items():
-            if rows:
-                key, a = (np.concatenate(x) for x in zip(*rows, strict=True))
-                _, x, y = stars(key, a)
-                pair = np.unique(np.stack((x, y), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-                for i in range(0, len(pair), 50_000):
-                    yield _rows((LINK if k == PART else SAME, 0, pair[i : i + 50_000, 0], pair[i : i + 50_000, 1], 0))
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.mapInArrow(scan, KIND).repartition(parts, "key").mapInArrow(meet, KIND)
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                raw = part.column("shingles").to_pylist()
+                off = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw]))).astype(np.int64)
+                owner, key = signatures(np.frombuffer(b"".join(raw), np.uint64), off, shared.value, percent, seed)
+                ids, cluster = (part.column(c).to_numpy() for c in ("doc_id", "component"))
+                yield _rows((PART, (key ^ mix(cluster.astype(np.uint64))[owner]).view(np.int64), ids[owner], 0, 0))
+
+    alone = wide.mapInArrow(lean(spread), "component long, shingle long, doc_id long").groupBy("component", "shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    size = F.octet_length("shingles") / 8
+    alive = materialise(wide.join(alone, "doc_id", "left").where(100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size).select("doc_id", "component", "shingles"))
+    label = components(met(alive.mapInArrow(lean(sign), KIND)).select("a", "b"))
+    out = materialise(alive.drop("component").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("doc_id", "component", "shingles"))
+    discard(alive, label)
+    return out
 
 
 def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
@@ -201,7 +275,7 @@ def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
             kinds, times = np.unique(shingle_sets(b.column("text"), shingle)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(times)], names=["h", "n"])
 
-    counts = docs.where(unit_hash("doc_id") < share).mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(6, int(COMMON_SHARE * min(n, SAMPLE_DOCS))))
+    counts = docs.where(unit_hash("doc_id") < share).mapInArrow(lean(scan), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(6, int(COMMON_SHARE * min(n, SAMPLE_DOCS))))
     return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).select("h").collect()], np.int64).view(np.uint64))
 
 
@@ -292,19 +366,42 @@ def divide_skip(flat: np.ndarray, off: np.ndarray, label: np.ndarray, query: np.
 
 
 def search_at(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, label, query, target, set) of whole blocks -> verified links (a, b)."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
         doc, label, query, target = (t.column(c).to_numpy() for c in ("doc_id", "label", "query", "target"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
-        links = divide_skip(flat, off, label, query.astype(bool), percent, target=target.astype(bool))
-        a, b = (np.array([doc[p[i]] for p in links], np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        found = divide_skip(np.concatenate(sets), off, label, query.astype(bool), percent, target=target.astype(bool))
+        a, b = (np.array([doc[p[i]] for p in found], np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def targets(rows: pa.RecordBatch, of: tuple) -> pa.RecordBatch:
+        mine = pc.and_(pc.equal(rows.column("component"), pa.scalar(int(of[0]))), pc.equal(rows.column("block"), pa.scalar(int(of[1]), pa.int32())))
+        return rows.filter(pc.and_(mine, rows.column("target")))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(component, block, query, target, doc_id, label, set), in order of the first three -> verified links (a, b).
+
+        Small blocks are searched together, and the queries of a block that has many in turns; what is held is bounded by the members of a block.
+        """
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for batch in batches:
+            component, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "block"))
+            bounds = np.flatnonzero(np.concatenate(([True], (component[1:] != component[:-1]) | (block[1:] != block[:-1]))))[: len(component)]
+            for i, j in zip(bounds.tolist(), [*bounds[1:].tolist(), len(component)], strict=True):
+                now = (component[i], block[i])
+                if size > HELD_DOCS and now != last:
+                    yield links(held)
+                    held, size = [], 0
+                elif size > HELD_DOCS and not batch.column("target")[i].as_py():
+                    yield links(held)  # the targets of this block stay for its further queries
+                    held, size = [x for x in (targets(h, now) for h in held) if x.num_rows], 0
+                held.append(batch.slice(i, j - i))
+                size += j - i
+                last = now
+        if size:
+            yield links(held)
 
     return search
 
@@ -327,25 +424,46 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = all_.where("doc_id is not null")
-    rows = materialise(find_candidates(d, common_shingles(d, shingle), shingle, percent))
+    common = common_shingles(d, shingle)
+    rows = materialise(find_candidates(d, common, shingle, percent))
     same = rows.where(F.col("kind") == SAME).select("a", "b")
     cluster = components(rows.where(F.col("kind") == LINK).select("a", "b"))
     # of equal sets one document is searched for
-    members = materialise(cluster.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
-    counts = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int"))
-    members = members.join(counts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(F.col("node").alias("doc_id"), "component", "blocks", "block")
-    sets = materialise(d.join(members, "doc_id").mapInArrow(as_sets, "doc_id long, component long, blocks int, block int, shingles binary"))
+    members = materialise(cluster.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("doc_id"), "component"))
+    several = lambda x: x.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    sets = materialise(d.join(spread_join(members, several(members).select("component")), "doc_id").mapInArrow(lean(as_sets), "doc_id long, component long, shingles binary"))
+    discard(cluster, members)
+    # clusters of more than a block are taken apart as far as that goes
+    narrow, left, tables = [], None, [rows, sets]
+    for seed in range(1, ROUNDS + 1):
+        sizes = several(sets)
+        before, left = left, sizes.where(F.col("m") > BLOCK_DOCS).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        if not left or before and left > 0.8 * before:
+            break
+        wide = sizes.where(F.col("m") > BLOCK_DOCS).select("component")
+        narrow.append(spread_join(sets, wide, "left_anti").select("doc_id", "component", "shingles"))
+        sets = refine(spread_join(sets, wide).select("doc_id", "component", "shingles"), common, percent, seed)
+        tables.append(sets)
+    for x in narrow:
+        sets = sets.union(x)
+    counts = several(sets).withColumn("blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int"))
+    sets = materialise(spread_join(sets, counts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "component", "blocks", "block", "shingles"))
+    tables.append(sets)
     big = sets.where("blocks > 1")
     chosen = big.groupBy("component").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id"))["doc_id"].alias(f"p{k}") for k in range(PIVOTS)))
     chosen = chosen.select("component", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("doc_id"))
     pivots = big.join(chosen, ["component", "doc_id"], "left_semi")
     pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     local = sets.union(pivots.select(sets.columns)).select("doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("query"), F.lit(True).alias("target"), "shingles", "component", "block")
+    dealt = lambda x: x.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "query").mapInArrow(lean(search), kind)
     kind = "a long, b long"
-    links = materialise(local.repartition(parts, "component", "block").drop("component", "block").mapInArrow(search, kind).union(same))
+    links = materialise(dealt(local).union(same))
+    tables.append(links)
     if not big.isEmpty():
         joined = components(links)
+        tables.append(joined)
         state = materialise(big.join(joined.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+        tables.append(state)
         # one row per cluster and block meets the members, so that no join puts a whole cluster into one task
         largest = state.groupBy("component", "label").agg(F.count("*").alias("count"), F.max("blocks").alias("blocks")).groupBy("component").agg(F.max(F.struct("count", "label"))["label"].alias("most"), F.max("blocks").alias("blocks"))
         each = lambda x: x.select("component", *(c for c in x.columns if c not in ("component", "blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -354,11 +472,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             ask = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             pick = lambda x, ask_: x.select("doc_id", "label", F.lit(ask_).alias("query"), F.lit(not ask_).alias("target"), "shingles", "component", "block")
             touched = state.join(each(rest.select("component", "blocks").distinct()), ["component", "block"], "left_semi")
-            more = pick(touched, False).union(pick(ask, True)).repartition(parts, "component", "block").drop("component", "block").mapInArrow(search, kind)
-            links = links.union(materialise(more))
+            more = dealt(pick(touched, False).union(pick(ask, True)))
+            more = materialise(more)
+            tables.append(more)
+            links = links.union(more)
     final = components(links)
+    tables.append(final)
     found = rows.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     out = found.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    nulls = all_.where("doc_id is null").mapInArrow(as_sets, "doc_id long, shingles binary").select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.union(nulls)
+    nulls = all_.where("doc_id is null").mapInArrow(lean(as_sets), "doc_id long, shingles binary").select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return finished(out.union(nulls), *tables)

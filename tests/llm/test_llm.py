@@ -65,7 +65,11 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(want if k <= n * 0.01 else 1.0, rel=1e-9)
 
 
-def test_suffix_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 2000])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, block):
+    """Also in many small blocks, where windows at overloaded anchors are settled in two steps."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", block * 4)
     docs = corpus(random.Random(1)) + [(900, "ha " * 90), (901, "y" * 400)]
     seen: dict = {}
     for d, t in sorted(docs):
@@ -83,6 +87,18 @@ def test_suffix_dedup_matches_brute_force(spark):
         assert got[d] == (len(b), gone.sum(), (edge == 1).sum(), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
 
 
+def settled(by):
+    """The spans of all buckets; a bucket has runs and spans, or windows."""
+    out = []
+    for v in by.values():
+        if v[0][0] == suffix_dedup.WINDOWS:
+            gone, rows = suffix_dedup.later([suffix_dedup.unpack_arrays(x) for _, x in v])
+            out.append((rows[2][gone], rows[3][gone], rows[4][gone], rows[4][gone] + suffix_dedup.LENGTH))
+        else:
+            out.append(suffix_dedup._bucket(v))
+    return suffix_dedup.union_by_document(out)
+
+
 def test_overloaded_anchors_and_segments_give_the_same(spark):
     docs = corpus(random.Random(2), 120)
     d = pa.RecordBatch.from_arrays([pa.array([x[0] for x in docs])] * 2 + [pa.array([x[1] for x in docs])], names=["ord", "rid", "text"])
@@ -91,8 +107,7 @@ def test_overloaded_anchors_and_segments_give_the_same(spark):
         by: dict = {}
         for b, k, raw in suffix_dedup._split(d, (np.array([b"w2"], "S16"), heavy, 2, 3)):
             by.setdefault(b, []).append((k, raw))
-        parts = [suffix_dedup._bucket(v) for v in by.values()]
-        return [x.tolist() for x in suffix_dedup.union(*(np.concatenate([p[i] for p in parts]) for i in range(3)))]
+        return [x.tolist() for x in settled(by)]
 
     data, off = suffix_dedup.byte_buffer(d.column("text"))
     anchors = suffix_dedup.runs(data, off)[2]
@@ -112,7 +127,7 @@ def test_places_beyond_the_bits_of_a_key(spark, monkeypatch):
     by: dict = {}
     for b, k, raw in suffix_dedup._split(d, (np.array([b"c", b"f"], "S16"), np.zeros(0, "S16"), 3, 1)):
         by.setdefault(b, []).append((k, raw))
-    spans = suffix_dedup.union(*(np.concatenate([x[i] for x in [suffix_dedup._bucket(v) for v in by.values()]]) for i in range(3)))
+    spans = settled(by)[1:]
     got = {i: np.zeros(len(t), bool) for i, t in docs}
     for r, s, e in zip(*(x.tolist() for x in spans), strict=True):
         got[r][s:e] = True
@@ -143,9 +158,10 @@ def sets_of(t):
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("block", [256, 12])
-def test_ngram_join_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,held", [(256, 1024), (12, 1024), (12, 8)])
+def test_ngram_join_matches_brute_force(spark, monkeypatch, block, held):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    monkeypatch.setattr(ngram_join, "HELD_DOCS", held)
     docs = corpus(random.Random(3)) + [(500, None)]
     s = {d: sets_of(t) for d, t in docs}
     up = {d: d for d in s}
