@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import mixing, ngram_join, packing, quality_classifier, suffix_dedup
-from cairn.llm.common import shared_folder, table
+from cairn.llm.common import lean, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Bytes covered by strings that start earlier go (cut characters with them); a document that loses all its text goes."""
     cut = suffix_dedup.remove_repeats(docs, ["doc_id", "lang", "source"])
     kind = "doc_id bigint, text string, lang string, source string, n_removed bigint, n_bytes bigint"
-    left = cut.mapInArrow(_as_text, kind).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_removed") == 0))
+    left = cut.mapInArrow(lean(_as_text), kind).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_removed") == 0))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
