@@ -1,19 +1,23 @@
 """Language-model scoring by cross-entropy difference.
 
 Two n-gram models of the same order, vocabulary (bytes) and smoothing are counted: a target model over the
-documents labelled good, and a background model over all documents. A document's score is the mean over
-its bytes of the background's loss less the target's (bits), so what reads like the target and unlike the
-rest scores high. Counts are exact, one for each n-gram that occurs, from every byte of every document:
+documents labelled good outside the held-out fold, and a background model over all documents. A document's
+score is the mean over its bytes of the background's loss less the target's (bits), so what reads like the
+target and unlike the rest scores high. Counts are exact, one for each n-gram that occurs, from every byte of
+every document; a context's count is the sum over what follows it, so no probability passes 1:
 
-1. Documents are packed into blocks of text, written to the shared folder.
+1. Documents are packed into compressed blocks of text, written to the shared folder. Labels meet the blocks'
+   doc_ids, not their texts; the plan is the same at every size.
 2. Each block sends its distinct n-grams with their counts to slices, dealt by a hash of the context.
 3. A slice adds up the counts of its n-grams and contexts over all blocks, and answers each block with the
    totals of the n-grams that the block sent. The number of slices grows with the input.
 4. A block meets its answers, and its documents are scored. No table of counts is in one place.
 
-Nulls: a null text has no tokens and scores 0; null labels and labels without a document are ignored;
-with no target text the target model equals the background and every score is 0. Repeated rows count and
-score as often as they occur. Further columns are ignored.
+Nulls: a null text has no tokens and scores 0, as does an empty one; null labels and labels without a document
+are ignored, and a repeated label keeps its highest quality; rows with a null doc_id are background only. With
+no target text the target model equals the background and every score is 0. Repeated rows count and score as
+often as they occur. A very long text is a block of its own, held in one task. An empty table gives no rows.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_buffer, lean, materialise, mix, segment_sum
+from .common import blocks, byte_buffer, finished, held_out, lean, materialise, mix, pack_arrays, release, segment_sum, unpack_arrays
 
 #: Bytes of text in a block and for each slice of the counts, and the fewest slices.
 TEXT_BYTES, SLICE_BYTES, SLICES, DISCOUNT = 8 << 20, 8 << 20, 64, 4.0
@@ -63,9 +67,7 @@ def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Rows of (n-gram, counts in each model), repeated -> distinct n-grams, and (counts, counts of their contexts) over all rows."""
 
     def add(inverse: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, x.shape[1]), np.int64)
-        np.add.at(out, inverse, x)
-        return out
+        return np.stack([np.bincount(inverse, x[:, k], n) for k in range(x.shape[1])], 1).astype(np.int64)  # sums below 2^53 are exact
 
     kinds, inverse = np.unique(keys, return_inverse=True)
     own = add(inverse, counts, len(kinds))
@@ -79,20 +81,9 @@ def losses(n: np.ndarray, context: np.ndarray, n_low: np.ndarray, context_low: n
     return -np.log2((n + DISCOUNT * low) / (context + DISCOUNT))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    import pickle
-
-    import zstandard
-
-    return zstandard.compress(pickle.dumps(arrays, 5), 1)
-
-
-def _unpack(raw: bytes) -> tuple:
-    import pickle
-
-    import zstandard
-
-    return pickle.loads(zstandard.decompress(raw))
+def narrow(counts: np.ndarray) -> list[np.ndarray]:
+    """The columns of a table of counts, each in the smallest type that holds it."""
+    return [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in counts.T]
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +96,8 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(b)
         _, off = byte_buffer(b.column("text"))
-        good = int(np.diff(off)[b.column("target").to_numpy(zero_copy_only=False)].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([int(off[-1])], pa.int64()), pa.array([good], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "n_target", "texts"])
+        ids, sizes = (pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), x) for x in (b.column("doc_id"), pa.array(np.diff(off))))
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([int(off[-1])], pa.int64()), ids, sizes, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "ids", "sizes", "texts"])
         at += 1
 
 
@@ -115,40 +106,46 @@ def _open(raw: bytes) -> pa.RecordBatch:
 
 
 def score_by_models(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background (bits a token) and score, their difference."""
+    """doc_id, n_tokens, loss_target, loss_background (bits a token), score, their difference, and held_out (never in the target)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id", F.lit(True).alias("good"))
-    marked = text.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("target"))
-    packed = materialise(marked.mapInArrow(lean(_texts), "block long, n_bytes long, n_target long, texts binary"))
-    size, taught = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    packed = materialise(text.mapInArrow(lean(_texts), "block long, n_bytes long, ids array<long>, sizes array<long>, texts binary"))
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").where(~held_out("doc_id")).select("doc_id")
+    members = packed.select("block", F.posexplode(F.arrays_zip("ids", "sizes")).alias("place", "of")).select("block", "place", F.col("of.ids").alias("doc_id"), F.col("of.sizes").alias("size"))
+    targets = materialise(members.join(good, "doc_id").groupBy("block").agg(F.collect_list("place").alias("places"), F.sum("size").alias("n_target")))
+    size = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    taught = targets.agg(F.coalesce(F.sum("n_target"), F.lit(0))).first()[0]
     slices = max(SLICES, -(-size // SLICE_BYTES))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for block, raw in zip(rows.column("block").to_pylist(), rows.column("texts"), strict=True):
-                b = _open(raw.as_buffer())
-                data, off = byte_buffer(b.column("text"))
-                five, at = grams(data, off)
-                if not len(five):
-                    continue
-                mask = np.repeat(b.column("target").to_numpy(zero_copy_only=False), np.diff(off))
-                n = np.stack([np.bincount(at, minlength=len(five)), np.bincount(at[mask], minlength=len(five))], 1)
-                three, of = lower(five)
-                low = np.stack([np.bincount(of, n[:, k], len(three)).astype(np.int64) for k in range(2)], 1)
-                keys, n = np.concatenate((five, three)), np.concatenate((n, low)).astype(np.uint32)
-                order, cut = dealt(keys, slices)
-                some = np.flatnonzero(np.diff(cut))
-                sent = [_pack(keys[m], n[m]) for m in (order[cut[k] : cut[k + 1]] for k in some)]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(np.full(len(some), block)), pa.array(sent, pa.binary())], names=["slice", "block", "sent"])
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        sent: list[tuple[int, int, bytes]] = []
+        for block, raw in zip(left.column("block").to_pylist(), left.column("texts"), strict=True):
+            b = _open(raw.as_buffer())
+            data, off = byte_buffer(b.column("text"))
+            five, at = grams(data, off)
+            if not len(five):
+                continue
+            target = np.zeros(b.num_rows, bool)
+            target[np.array([x for row in right.column("places").to_pylist() for x in row], np.int64)] = True
+            n = np.stack([np.bincount(at, minlength=len(five)), np.bincount(at[np.repeat(target, np.diff(off))], minlength=len(five))], 1)
+            three, of = lower(five)
+            low = np.stack([np.bincount(of, n[:, k], len(three)).astype(np.int64) for k in range(2)], 1)
+            keys, n = np.concatenate((five, three)), np.concatenate((n, low))
+            order, cut = dealt(keys, slices)
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                m = order[cut[k] : cut[k + 1]]
+                sent.append((k, block, pack_arrays(keys[m], *narrow(n[m]))))
+        release()
+        return pa.table([pa.array([x[i] for x in sent], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["slice", "block", "sent"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sent = [], []
         for b in batches:
             block += b.column("block").to_pylist()
-            sent += [_unpack(x) for x in b.column("sent").to_pylist()]
-        kinds, found = totals(np.concatenate([k for k, _ in sent]), np.concatenate([n for _, n in sent]))
-        for k, (keys, _) in zip(block, sent, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([k], pa.int64()), pa.array([_pack(found[np.searchsorted(kinds, keys)])], pa.binary())], names=["slice", "block", "found"])
+            sent += [unpack_arrays(x) for x in b.column("sent").to_pylist()]
+        kinds, found = totals(np.concatenate([x[0] for x in sent]), np.concatenate([np.stack(x[1:], 1).astype(np.int64) for x in sent]))
+        for k, (keys, *_) in zip(block, sent, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([k], pa.int64()), pa.array([pack_arrays(*narrow(found[np.searchsorted(kinds, keys)]))], pa.binary())], names=["slice", "block", "found"])
+        release()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -161,13 +158,16 @@ def score_by_models(docs: DataFrame, labels: DataFrame) -> DataFrame:
             order, cut = dealt(np.concatenate((five, three)), slices)
             found = np.zeros((len(order), 4), np.int64)
             for k, x in zip(right.column("slice").to_pylist(), right.column("found").to_pylist(), strict=True):
-                found[order[cut[k] : cut[k + 1]]] = _unpack(x)[0]
+                found[order[cut[k] : cut[k + 1]]] = np.stack(unpack_arrays(x), 1)
             high, low = found[: len(five)], found[len(five) :][of]
             lb, lt = (losses(high[:, k], high[:, k + 2], low[:, k], low[:, k + 2]) for k in (0, 1 if taught else 0))
             lt, lb = (segment_sum(x[at], off) / np.maximum(n, 1) for x in (lt, lb))
             out.append(pa.Table.from_arrays([b.column("doc_id"), pa.array(n), pa.array(lt), pa.array(lb), pa.array(lb - lt)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"]))
+        release()
         return pa.concat_tables(out)
 
-    found = packed.select("block", "texts").mapInArrow(lean(count), "slice long, block long, sent binary").groupBy("slice").applyInArrow(add, "slice long, block long, found binary")
+    texts = packed.select("block", "texts").groupBy("block")
+    found = texts.cogroup(targets.groupBy("block")).applyInArrow(count, "slice long, block long, sent binary").groupBy("slice").applyInArrow(add, "slice long, block long, found binary")
     kind = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
-    return packed.select("block", "texts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, kind)
+    scored = texts.cogroup(found.groupBy("block")).applyInArrow(score, kind)
+    return finished(scored.withColumn("held_out", held_out("doc_id")), packed, targets)

@@ -337,8 +337,12 @@ def test_quality_held_out(spark):
 
 def test_lm_scores(spark):
     d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    r = {x.quality: x.s for x in lm_scoring.score_by_models(d, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("s")).collect()}
-    assert r[1] > r[0]
+    """On documents that the target model never saw: most good ones score above most bad ones, and no loss is negative."""
+    scored = lm_scoring.score_by_models(d, labels)
+    assert scored.agg(F.min(F.least("loss_target", "loss_background"))).first()[0] >= 0
+    rows = scored.where("held_out").join(labels.where("quality is not null"), "doc_id").select("quality", "score").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.8
 
 
 def test_lm_counts_are_exact(spark, monkeypatch):
@@ -350,7 +354,7 @@ def test_lm_counts_are_exact(spark, monkeypatch):
     rng = random.Random(12)
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)] + list("abcdefgh ")
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 400))) for _ in range(600)] + ["", None, "a", "zu \0\0"]
-    good = set(range(0, 600, 3))
+    good = {i for i in range(0, 600, 3) if zlib.crc32(str(i).encode()) % 3 != 1}
     model = [[Counter() for _ in range(4)] for _ in range(2)]
     parts = lambda t: [(x[i : i + 5], x[i : i + 4], x[i + 2 : i + 5], x[i + 2 : i + 4]) for x in [b"\0" * 4 + (t or "").encode()] for i in range(len(x) - 4)]
     for i, t in enumerate(texts):
@@ -360,7 +364,7 @@ def test_lm_counts_are_exact(spark, monkeypatch):
                     c[k] += 1
     assert len(model[0][0]) > 250_000
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(i, int(i in good)) for i in range(len(texts))], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 and i < 600)) for i in range(len(texts))], "doc_id long, quality int")
     got = {r.doc_id: r for r in lm_scoring.score_by_models(d, labels).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
