@@ -314,6 +314,31 @@ def test_embeddings_match_brute_force(spark):
     assert all(got[i].n_links == 0 for i in range(900, 905)) and got[900].kept and got[300].component_id == got[303].component_id
 
 
+def test_embeddings_of_any_dimension_and_size(spark):
+    """Each dimension has its own index, and no norm overflows or vanishes."""
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.1]), (3, [9.0, 0.0, 0.0]), (4, [3.0, 1.0]), (5, [3.0, 1.001]), (6, [1e200, 1e200]), (7, [1e200, 1.01e200]), (8, [1e-300, 1e-300]), (9, [5.0]), (10, [-7.0]), (11, [2.0]), (12, [1.0, 2.0, 3.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"m": F.lit(1), "rep": F.lit("x"), "kept": F.lit(None).cast("string")})
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_embeddings(d).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 12: (2, 1, False), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False), 6: (2, 6, True), 7: (2, 6, False), 8: (2, 6, False), 9: (1, 9, True), 11: (1, 9, False), 10: (0, 10, True)}
+
+
+def test_embeddings_with_more_lists_than_probes(spark, monkeypatch):
+    """Recall against brute force where most lists are left out, in small blocks and parts."""
+    for name, value in (("PER_LIST", 8), ("BLOCK", 16), ("ASKS", 64)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(900, 24))
+    other = base[:600] + rng.normal(size=(600, 24)) * 0.31
+    x = np.concatenate((base, other)).astype(np.float32).astype(float)
+    index = embedding_dedup.Index(x, len(x) // 8, 0.95)
+    assert index.probes < len(index.centroids) / 4
+    got = {r.vec_id: r for r in embedding_dedup.near_embeddings(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    y = embedding_dedup.unit(x)
+    links = ((y @ y.T >= 0.95) & ~np.eye(len(y), dtype=bool)).sum(1)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert links.sum() > 400 and (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
 def test_toxicity_learns_a_pair():
     rng = random.Random(9)
     bucket, off, y = [], [0], []
