@@ -208,18 +208,6 @@ def test_components(spark):
         assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50, 52: 50}
 
 
-def test_automaton_parses_like_the_definition():
-    rng = random.Random(4)
-    m = language_id.Languages({"a": "".join(rng.choices("abcd ", k=300)), "b": "".join(rng.choices("cdef ", k=300))})
-    texts = ["".join(rng.choices("abcdefg ", k=rng.randint(1, 200))) for _ in range(30)]
-    found, _, _ = m.phrases(pa.array(texts))
-    small = lambda t: re.sub(" +", " ", t)
-    for k, name in enumerate(m.names):
-        train = small({"a": "", "b": ""}[name] or "")
-        assert found.shape == (30, 2) and train == ""
-    assert (found >= 1).all()
-
-
 def test_letters_of_large_scripts_stay_apart():
     """Languages that share a script of 2000 letters but not its words, beside alphabets."""
     rng = random.Random(16)
@@ -231,14 +219,15 @@ def test_letters_of_large_scripts_stay_apart():
     assert m.predict(pa.array([t for _, t in asked]))[0] == [k for k, _ in asked]
 
 
-@pytest.mark.parametrize("cells", [0, 4_000_000])
-def test_phrases_by_the_definition(monkeypatch, cells):
-    """Greedy longest matches, by hashed and by dense tables."""
+@pytest.mark.parametrize("cells,piece", [(0, 256), (4_000_000, 256), (4_000_000, 16), (0, 7)])
+def test_phrases_by_the_definition(monkeypatch, cells, piece):
+    """Greedy longest matches over whole texts, by hashed and by dense tables, in long and short pieces."""
     monkeypatch.setattr(language_id, "CELLS", cells)
+    monkeypatch.setattr(language_id, "PIECE", piece)
     rng = random.Random(17)
     train = {"a": "".join(rng.choices("abcd ", k=300)), "b": "".join(chr(0x4E00 + rng.randrange(90)) for _ in range(300))}
     m = language_id.Languages(train)
-    texts = ["".join(rng.choices("abcdeg " + train["b"][:60], k=rng.randint(1, 250))) for _ in range(30)] + [t[40:200] for t in train.values()]
+    texts = ["".join(rng.choices("abcdeg " + train["b"][:60], k=rng.randint(1, 600))) for _ in range(30)] + [t[40:200] for t in train.values()] + [t * 3 for t in train.values()]
     found, _, _ = m.phrases(pa.array(texts))
     for k, name in enumerate(m.names):
         known = re.sub(" +", " ", train[name])
@@ -252,6 +241,12 @@ def test_phrases_by_the_definition(monkeypatch, cells):
             assert found[i, k] == n
 
 
+def test_marks_alone_are_no_letters():
+    m = language_id.Languages({"en": "abc abd", "hi": "\u0915\u093e\u0916"})
+    names, score = m.predict(pa.array(["\u0301\u0302", "\u093e", "12 !", None, "", "\u0915\u093e", "abc"]))
+    assert names == ["und"] * 5 + ["hi", "en"] and score[:5].max() == 0 and 0 < score[5:].min() and score.max() <= 1
+
+
 def test_all_languages_are_learned(spark):
     d = spark.createDataFrame([(i, f"wort{i % 260} text", f"l{i % 260:03}", "a", 9) for i in range(260 * 8)], DOCS)
     assert len(language_id.fit(d).names) == 260
