@@ -5,12 +5,13 @@ the text. The pairwise part catches what additive weights miss (an insult that c
 mention of a group). Terms are lower-cased words stripped of punctuation, hashed to `BUCKETS` buckets.
 
 The fit uses a bounded sample of labelled rows outside the held-out fold (`MAX_ROWS` documents, chosen by
-hash of doc_id) and the `MAX_TERMS` buckets that separate its classes best or occur most; other buckets
-weigh nothing. Scoring covers every whole text; the model's size is fixed by these parameters.
+hash of doc_id) and every term that is common in it or occurs there significantly more in one class; the others
+weigh nothing. Scoring covers every whole text.
 
 Nulls: a null text is empty and scores as the bias alone; null labels are ignored; a repeated label
 keeps its highest value; without both classes in the sample every score is the smoothed base rate.
-Repeated rows get equal scores. Further columns are ignored.
+Ties and repeated rows get equal scores. A very long text is held whole in one task. An empty table gives no
+rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, hash_words, held_out, lean, unit_hash, word_codes
 
-BUCKETS, MAX_ROWS, MAX_TERMS, FACTORS, EPOCHS = 1 << 20, 12_000, 2_048, 8, 30
+BUCKETS, MAX_ROWS, FACTORS, EPOCHS, BATCH = 1 << 20, 12_000, 8, 14, 128
+#: A term is learned if at least so many documents of the sample have it and its log odds differ between the classes by so
+#: many standard errors, or such a share of the documents has it; others would only be learned by heart.
+MIN_DOCS, MIN_Z, MIN_SHARE = 3, 2.5, 0.05
 THRESHOLD = 0.7
 
 
@@ -68,48 +72,46 @@ class Machine:
 
 
 def train(bucket: np.ndarray, off: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
-    """Adam on mini-batches with L2; deterministic given the sample's order."""
+    """Adam on mini-batches with L2, each step over the buckets of its batch alone; deterministic given the sample's order."""
     n, rng = len(y), np.random.default_rng(seed)
     base = (y.sum() + 1) / (n + 2)
+    bias = float(np.log(base / (1 - base)))
     if not 0 < y.sum() < n:
-        return Machine(np.zeros(0, np.int64), float(np.log(base / (1 - base))))
-    row = np.repeat(np.arange(n), np.diff(off))
-    kinds, inverse = np.unique(bucket, return_inverse=True)
-    seen, pos = np.bincount(inverse), np.bincount(inverse, y[row])
-    p, q = (pos + 0.5) / (y.sum() + 1), (seen - pos + 0.5) / (n - y.sum() + 1)
-    z = np.abs(np.log(p / q)) / np.sqrt(1 / (pos + 0.5) + 1 / (seen - pos + 0.5))
-    z[seen < 3] = 0
-    best = set(np.argsort(-z, kind="stable")[: MAX_TERMS // 2].tolist()) | set(np.argsort(-seen, kind="stable")[: MAX_TERMS // 2].tolist())
-    m = Machine(kinds[sorted(best)], float(np.log(base / (1 - base))))
+        return Machine(np.zeros(0, np.int64), bias)
+    kinds, inverse, seen = np.unique(bucket, return_inverse=True, return_counts=True)
+    pos = np.bincount(inverse, y[np.repeat(np.arange(n), np.diff(off))])
+    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((seen - pos + 0.5) / (n - y.sum() + 1))
+    z = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (seen - pos + 0.5))
+    m = Machine(kinds[(seen >= MIN_DOCS) & ((z >= MIN_Z) | (seen >= MIN_SHARE * n))], bias)
     slot = m.slots(bucket)
-    row, slot = row[slot > 0], slot[slot > 0]
-    start = np.searchsorted(row, np.arange(n + 1))
+    off = np.concatenate(([0], np.cumsum(slot > 0)))[off]
+    slot = slot[slot > 0]
     m.v[1:] = rng.normal(0, 0.02, m.v[1:].shape)
-    state = [np.zeros_like(m.w), np.zeros_like(m.w), np.zeros_like(m.v), np.zeros_like(m.v)]
-    step = 0
+    weight = np.concatenate((m.w[:, None], m.v), 1)
+    first, second, decay = np.zeros_like(weight), np.zeros_like(weight), np.array([2e-5] + [2e-4] * FACTORS)
+    steps = max(1, n // BATCH)
     for epoch in range(EPOCHS):
-        order = rng.permutation(n)
-        for batch in np.array_split(order, max(1, n // 128)):
-            size = start[batch + 1] - start[batch]
-            at = np.repeat(start[batch] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            s, r = slot[at], np.repeat(np.arange(len(batch)), size)
-            f, total = m.raw(s, r, len(batch))
+        rate = 0.03 * (1 - epoch / EPOCHS) + 1e-3
+        for k, batch in enumerate(np.array_split(rng.permutation(n), steps)):
+            size = off[batch + 1] - off[batch]
+            at = np.repeat(off[batch] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            kinds, s = np.unique(slot[at], return_inverse=True)
+            r, w = np.repeat(np.arange(len(batch)), size), weight[kinds]
+            v = w[s, 1:]
+            total = np.add.reduceat(np.concatenate((v, np.zeros((1, FACTORS)))), np.minimum(np.cumsum(size) - size, len(v)), axis=0)
+            total[size == 0] = 0
+            square = np.bincount(r, (v**2).sum(1), minlength=len(batch))
+            f = m.bias + np.bincount(r, w[s, 0], minlength=len(batch)) + 0.5 * ((total**2).sum(1) - square)
             g = (1 / (1 + np.exp(-np.clip(f, -60, 60))) - y[batch]) / len(batch)
-            gw = np.bincount(s, g[r], minlength=len(m.w)) + 2e-5 * m.w
-            gv = np.zeros_like(m.v)
-            part = g[r][:, None] * (total[r] - m.v[s])
-            for k in range(FACTORS):
-                gv[:, k] = np.bincount(s, part[:, k], minlength=len(m.w))
-            gv += 2e-4 * m.v
-            step += 1
-            rate = 0.03 * (1 - epoch / EPOCHS) + 1e-3
-            for weight, grad, (a, b) in ((m.w, gw, state[:2]), (m.v, gv, state[2:])):
-                a *= 0.9
-                a += 0.1 * grad
-                b *= 0.999
-                b += 0.001 * grad**2
-                weight -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+            part = np.concatenate((g[r][:, None], g[r][:, None] * (total[r] - v)), 1)
+            order = np.argsort(s, kind="stable")
+            grad = np.add.reduceat(part[order], np.searchsorted(s[order], np.arange(len(kinds))), axis=0) + decay * w
+            step = epoch * steps + k + 1
+            a, b = 0.9 * first[kinds] + 0.1 * grad, 0.999 * second[kinds] + 0.001 * grad**2
+            first[kinds], second[kinds] = a, b
+            weight[kinds] = w - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
             m.bias -= rate * float(g.sum())
+    m.w, m.v = weight[:, 0], weight[:, 1:]
     return m
 
 
