@@ -5,83 +5,87 @@ exponent is bisected in [0, 1]: the largest one at which the mixture's entropy r
 the largest possible, log of the number of sources), raised further if a source would be repeated more
 than `repeats` times within the budget. The weights are realised as budgeted block permutations: a
 source's documents are put in a pseudo-random order; its budget is spent on whole passes over that order,
-then on the order's head until the budget is used up. Only token counts per source and block reach the
-driver's plan; order and budget are resolved with hash blocks, so no source is sorted in one task.
+then on the order's head until the budget is used up. Only sums over all sources reach the driver, however many
+sources there are; order and budget are resolved with hash blocks, so no source is sorted in one task.
 
-Defaults: the budget is the number of tokens there are; a document's tokens are its white-space words.
+Defaults: the budget is the number of tokens there are; a document's tokens are its white-space words. A budget
+that needs more than `repeats` passes over everything is an error.
 Nulls: a null text has no tokens; a null source is a source of its own; documents without tokens cost
-nothing and come along in every pass. Rows with equal doc_id are drawn together. Further columns pass.
+nothing and come along in every pass. Rows with equal doc_id are drawn together, and so are ties in the order.
+A very long text is one draw like any other. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import finished, materialise
 
 ENTROPY, REPEATS, BLOCKS = 0.97, 4.0, 1024
+#: Exponents tried at once, and rounds of that.
+STEPS, ROUNDS = 15, 10
 
 
 def tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def weights(share: dict, exponent: float) -> dict:
-    top = max(share.values())
-    raw = {s: (p / top) ** exponent for s, p in share.items()}
-    total = math.fsum(raw.values())
-    return {s: r / total for s, r in raw.items()}
-
-
-def solve(sizes: dict, budget: float, entropy: float = ENTROPY, repeats: float = REPEATS) -> tuple[float, dict]:
-    """The exponent and the weights. sizes: tokens by source, all positive."""
-    if not sizes:
-        return 1.0, {}
-    total = sum(sizes.values())
-    share = {s: n / total for s, n in sizes.items()}
-    goal = entropy * math.log(len(sizes))
-
-    def bisect(fine) -> float:
-        """The exponent nearest to 0 or 1 at which `fine` turns, for a property that holds at 0 and less towards 1."""
-        low, high = 0.0, 1.0
-        if fine(1.0):
-            return 1.0
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fine(mid) else (low, mid)
-        return low
-
-    exponent = bisect(lambda e: -math.fsum(w * math.log(w) for w in weights(share, e).values() if w > 0) >= goal)
-    within = lambda e: all(w * budget <= repeats * sizes[s] * (1 + 1e-12) for s, w in weights(share, e).items())
-    if not within(exponent):
-        low, high = exponent, 1.0  # at 1 every source is repeated budget / total times
-        if not within(high):
-            return 1.0, weights(share, 1.0)
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (low, mid) if within(mid) else (mid, high)
-        exponent = high
-    return exponent, weights(share, exponent)
+def solve(sizes: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS) -> tuple[float, float, float]:
+    """The exponent, the total of tokens and the sum of share ** exponent. sizes: n, the tokens of each source, all positive.
+
+    Bisection by `STEPS` exponents at once: each round is one aggregate over the sources, which stay where they are.
+    """
+    total, count, least = sizes.agg(F.sum("n"), F.count("*"), F.min("n")).first()
+    if not count:
+        return 1.0, 0.0, 1.0
+    budget = float(total) if budget is None else float(budget)
+    if budget > repeats * total * (1 + 1e-12):
+        raise ValueError(f"a budget of {budget} tokens repeats sources of {total} tokens more than {repeats} times")
+    p, goal = F.col("n") / float(total), entropy * math.log(count)
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        """Sum of p ** e, and entropy of the weights, for each e."""
+        got = sizes.agg(*(x for i, e in enumerate(exponents) for x in (F.sum(F.pow(p, F.lit(e))).alias(f"z{i}"), F.sum(F.pow(p, F.lit(e)) * F.ln(p)).alias(f"y{i}")))).first()
+        return [(got[f"z{i}"], math.log(got[f"z{i}"]) - e * got[f"y{i}"] / got[f"z{i}"]) for i, e in enumerate(exponents)]
+
+    def between(low: float, high: float, holds: Callable[[float, float, float], bool]) -> tuple[float, float]:
+        """Neighbouring exponents at the first of which a property holds, and at the second no more; it holds up to some exponent."""
+        for _ in range(ROUNDS):
+            tried = [low, *(low + (high - low) * (i + 1) / (STEPS + 1) for i in range(STEPS)), high]
+            turn = next((i for i, (e, (z, h)) in enumerate(zip(tried[1:-1], sums(tried[1:-1]), strict=True), 1) if not holds(e, z, h)), STEPS + 1)
+            low, high = tried[turn - 1], tried[turn]
+        return low, high
+
+    # a source of share p is repeated budget / total * p ** (e - 1) / z times, the smallest one most
+    most = lambda e, z: budget / total * (least / total) ** (e - 1) / z
+    (z, h) = sums([1.0])[0]
+    exponent = 1.0 if h >= goal else between(0.0, 1.0, lambda e, z, h: h >= goal)[0]
+    z = sums([exponent])[0][0]
+    if most(exponent, z) > repeats * (1 + 1e-12):  # at 1 every source is repeated budget / total times
+        exponent = between(exponent, 1.0, lambda e, z, h: most(e, z) > repeats * (1 + 1e-12))[1]
+        z = sums([exponent])[0][0]
+    return exponent, float(total), z
 
 
 def mix_sources(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = 11) -> DataFrame:
     """One row per document: doc_id, source, n_tokens, weight (of its source) and copies (times it is drawn)."""
-    spark = docs.sparkSession
     order = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
     d = docs.select("doc_id", "source", F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("s"), tokens(F.col("text").cast("string")).alias("n_tokens"), order.alias("h"))
     d = materialise(d.withColumn("block", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BLOCKS)).cast("int")))
     # a row per source and block: bounded by BLOCKS times the number of sources
     per_block = d.groupBy("s", "block").agg(F.sum("n_tokens").alias("n"))
-    by_source = per_block.groupBy("s").agg(F.sum("n").alias("n"))
-    sizes = {r["s"]: r["n"] for r in by_source.collect()}
-    sizes = {s: n for s, n in sizes.items() if n > 0}
-    budget = float(sum(sizes.values()) if budget is None else budget)
-    _, w = solve(sizes, budget, entropy, repeats)
-    plan = spark.createDataFrame([(s, w[s], int(w[s] * budget) // sizes[s], int(w[s] * budget) % sizes[s]) for s in w], "s string, weight double, passes bigint, rest bigint")
+    by_source = materialise(per_block.groupBy("s").agg(F.sum("n").alias("n")).where("n > 0"))
+    exponent, total, z = solve(by_source, budget, entropy, repeats)
+    budget = total if budget is None else float(budget)
+    weight = F.pow(F.col("n") / F.lit(total), F.lit(exponent)) / F.lit(z)
+    tokens_of = F.floor(F.col("weight") * F.lit(budget)).cast("long")
+    plan = by_source.withColumn("weight", weight).select("s", "weight", (tokens_of - F.pmod(tokens_of, "n")).alias("whole"), F.pmod(tokens_of, "n").alias("rest"), F.col("n").alias("size"))
+    plan = plan.select("s", "weight", F.expr("whole div size").alias("passes"), "rest")
     before = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = per_block.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, "s")
     # blocks wholly inside or outside the head need no order; the block where the budget ends, one per source, does
@@ -92,4 +96,4 @@ def mix_sources(docs: DataFrame, budget: float | None = None, entropy: float = E
     whole = j.where("head is not null or passes is null").select(*out, (F.coalesce("passes", F.lit(1)) + F.coalesce("head", F.lit(0))).cast("long").alias("copies"))
     edge = j.where("head is null and passes is not null").withColumn("cum", F.sum("n_tokens").over(within) - F.sum("n_tokens").over(Window.partitionBy("s", "block", "h", "doc_id")))
     edge = edge.select(*out, (F.col("passes") + (F.col("before") + F.col("cum") < F.col("rest")).cast("long")).alias("copies"))
-    return whole.unionByName(edge)
+    return finished(whole.unionByName(edge), d, by_source)
