@@ -5,11 +5,15 @@ stratum (language) from labelled holdouts: a cutoff is admissible when the exact
 "this cutoff wrongly rejects more than `alpha / rules` of the good documents" at level
 `delta / (strata * candidates)` (Bonferroni over every test made). The strictest admissible cutoff of
 each rule is used; a rule with none is idle in that stratum. By the union bound a stratum loses at most
-`alpha` of its good documents, for all strata at once with confidence `1 - delta`.
-
-Nulls: a null text has no words and fails the base rules; a null language is a stratum of its own;
-labels that are null or without a document are ignored. Repeated rows each get the same verdict;
-labels that repeat a document count once (the highest quality stands). Further columns are ignored.
+`alpha` of its good documents, for all strata at once with confidence `1 - delta`. Good documents here are
+those that pass the base rules, which are fixed and not part of the guarantee; copies of one text would not
+be independent draws, so each distinct text counts once.
+
+Nulls: a null text has no words and fails the base rules; a null language is a stratum of its own, apart from
+the empty one; labels that are null or without a document are ignored. Repeated rows each get the same
+verdict; labels that repeat a document count once (the highest quality stands). A value at a cutoff passes.
+A very long text is worked on whole, in one row. An empty table gives no rows. Further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -43,10 +47,10 @@ def _covered(windows: Column, size: int) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang and the word, symbol, line and repetition counts of every whole text; no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("t"))
-    d = d.select("doc_id", "lang", "t", F.array_remove(F.split("t", SPACE), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.cast("string").alias("t"))
+    d = d.select("doc_id", "lang", "t", F.xxhash64("t").alias("text_key"), F.array_remove(F.split("t", SPACE), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     d = d.select(
-        "doc_id", "lang", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        "doc_id", "lang", "text_key", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.size(F.split("t", SYMBOLS)) - 1).cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
@@ -57,13 +61,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     same = lambda i, j: F.get("pairs", i)["x"] == F.get("pairs", j)["x"]
     again = F.filter(F.transform(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: F.when(F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)), F.get("pairs", i)["i"])), lambda x: x.isNotNull())
     d = d.withColumn("again", F.when(F.col("pairs").isNotNull(), F.sort_array(again))).drop("pairs")
-    return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("again"), WINDOW)).alias("n_repeat_words"))
+    return d.select("doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("again"), WINDOW)).alias("n_repeat_words"))
 
 
 def ratios(stats: DataFrame) -> DataFrame:
     over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1)).cast("double")
     return stats.withColumns({
-        "stratum": F.coalesce("lang", F.lit("")), "r_symbols": over("n_symbols", "word_chars"), "r_dup_lines": over("n_dup_lines", "n_lines"),
+        "stratum": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "r_symbols": over("n_symbols", "word_chars"), "r_dup_lines": over("n_dup_lines", "n_lines"),
         "r_repeats": over("n_repeat_words", "n_words"), "r_word_chars": over("word_chars", "n_words"),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
@@ -84,7 +88,8 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
 def cutoffs(rated: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """One row per stratum with the chosen cutoff of each rule (null: the rule is idle there)."""
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = rated.where(~F.col("base_failed")).join(good, "doc_id")
+    stats = sorted({stat for stat, _, _ in RULES.values()})
+    held = rated.where(~F.col("base_failed")).join(good, "doc_id").groupBy("stratum", "text_key").agg(*(F.first(x).alias(x) for x in stats))
     tests = [(rule, stat, sign, cut) for rule, (stat, sign, cuts) in RULES.items() for cut in cuts]
     beyond = lambda stat, sign, cut: F.col(stat) > cut if sign > 0 else F.col(stat) < cut
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count(F.when(beyond(*t[1:]), 1)).alias(f"k{i}") for i, t in enumerate(tests)))

@@ -282,17 +282,36 @@ def test_mixing_brute_force(spark):
     sizes: dict = {}
     for _, t, _, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len(t.split())
-    e, w = mixing.solve(sizes, sum(sizes.values()))
-    assert 0 <= e <= 1 and sum(w.values()) == pytest.approx(1)
+    w = weights(spark, sizes)
+    assert sum(w.values()) == pytest.approx(1) and {r.source: r.weight for r in got} == pytest.approx(w)
     for s, n in sizes.items():
         drawn = sum(r.n_tokens * r.copies for r in got if r.source == s)
         assert w[s] * sum(sizes.values()) - 1 <= drawn <= w[s] * sum(sizes.values()) + 41
         assert max(r.copies for r in got if r.source == s) - min(r.copies for r in got if r.source == s) <= 1 and n
 
 
-def test_mixing_limits():
-    _, w = mixing.solve({"a": 1000, "b": 1}, 1001, entropy=1.0, repeats=3)
-    assert w["b"] * 1001 <= 3.001
+def weights(spark, sizes, **limits):
+    e, total, z = mixing.solve(spark.createDataFrame([(n,) for n in sizes.values()], "n long"), **limits)
+    return {s: (n / total) ** e / z for s, n in sizes.items()}
+
+
+def test_mixing_limits(spark):
+    """The weights against a plain bisection, and the limits they must keep."""
+    rng = random.Random(22)
+    for sizes in ({"a": 1000, "b": 1}, {i: rng.randint(1, 10**6) for i in range(40)}, {"a": 5}, {"a": 7, "b": 7}):
+        total, logs = sum(sizes.values()), np.log(np.array(list(sizes.values())) / sum(sizes.values()))
+        entropy = lambda w: -float((w * np.log(w)).sum())
+        power = lambda e: np.exp(e * logs) / np.exp(e * logs).sum()
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if entropy(power(mid)) >= 0.97 * np.log(len(sizes)) else (low, mid)
+        want = power(1.0) if entropy(power(1.0)) >= 0.97 * np.log(len(sizes)) - 1e-12 else power(low)
+        assert list(weights(spark, sizes, repeats=1e9).values()) == pytest.approx(want, rel=1e-6)
+        w = weights(spark, sizes, entropy=1.0, repeats=3)
+        assert all(x * total <= 3.001 * sizes[s] for s, x in w.items())
+    with pytest.raises(ValueError, match="budget"):
+        weights(spark, {"a": 10}, budget=31, repeats=3)
 
 
 def test_embeddings_match_brute_force(spark):
@@ -348,6 +367,45 @@ def test_toxicity_learns_a_pair():
     assert s[0] > 0.7 and s[1] < 0.5 and s[2] < 0.5
 
 
+def test_toxicity_scores_by_the_definition():
+    """The machine's score against bias, weights and every pair of terms written out."""
+    rng = np.random.default_rng(23)
+    m = toxicity.Machine(np.arange(0, 40, 2), 0.3)
+    m.w[1:], m.v[1:] = rng.normal(size=20), rng.normal(size=(20, toxicity.FACTORS))
+    texts = [sorted(rng.choice(40, k, replace=False).tolist()) for k in (0, 1, 5, 12)]
+    got = m.score(np.array(sum(texts, []), np.int64), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    for t, s in zip(texts, got, strict=True):
+        known = [x // 2 + 1 for x in t if x % 2 == 0]
+        f = 0.3 + sum(m.w[i] for i in known) + sum(m.v[i] @ m.v[j] for i in known for j in known if i < j)
+        assert s == pytest.approx(1 / (1 + np.exp(-f)))
+
+
+def test_toxicity_held_out(spark):
+    d, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    r = toxicity.score_toxicity(d, labels).join(labels, "doc_id").where("held_out and toxic is not null")
+    hit, toxic, false = r.agg(F.count_if(F.expr("toxic = 1 and predicted = 1")), F.count_if(F.expr("toxic = 1")), F.count_if(F.expr("toxic = 0 and predicted = 1"))).first()
+    assert hit >= 0.7 * toxic and false <= 0.1 * hit
+
+
+def test_quality_by_the_definition():
+    """Scores against Gaussian log-densities computed by plain inverses and determinants, and shrinkage written out."""
+    rng = np.random.default_rng(24)
+    x = {c: rng.normal(c, 1 + c, (40 + 20 * c, 4)) for c in (0, 1)}
+    m = quality_classifier.Discriminant({c: (len(v), v.sum(0), v.T @ v) for c, v in x.items()})
+    every = np.concatenate(list(x.values()))
+    z = {c: (v - every.mean(0)) / every.std(0) for c, v in x.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in z.items()}
+    pooled = sum(len(z[c]) * cov[c] for c in z) / len(every)
+    ask = (rng.normal(0, 2, (9, 4)) - every.mean(0)) / every.std(0)
+    log = {}
+    for c in z:
+        s = 0.9 * cov[c] + 0.1 * pooled
+        s = 0.98 * s + 0.02 * np.trace(s) / 4 * np.eye(4)
+        d = ask - z[c].mean(0)
+        log[c] = np.log(len(z[c]) / len(every)) - 0.5 * np.log(np.linalg.det(s)) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d)
+    assert m.score(ask * every.std(0) + every.mean(0)) == pytest.approx(1 / (1 + np.exp(-0.25 * (log[1] - log[0]))))
+
+
 def test_quality_held_out(spark):
     d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     r = quality_classifier.classify_quality(d, labels).join(labels, "doc_id").where("held_out")
