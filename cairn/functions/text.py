@@ -90,6 +90,11 @@ def edit_distance(a: Column | str, b: Column | str) -> Column:
     return F.udf(_distance, "int", useArrow=True)(a, b)
 
 
+def near(a: Column, b: Column, most: Column) -> Column:
+    """Whether the built-in distance allows a restricted Damerau-Levenshtein distance of `most`: a swap costs it two edits, so at most twice as many."""
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= 2 * most)
+
+
 def capital_penalty(name: Column, query: Column) -> Column:
     """0.6 if the first letters differ in case, 0 where either has no letter."""
     upper = lambda c: F.regexp_extract(c, r"(\p{L})", 1).rlike(r"^\p{Lu}")
@@ -118,24 +123,45 @@ def unify_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def line_seconds(line: Column) -> Column:
-    """Seconds of a timing line: `time=`/`elapsed=` with a unit (a bare number is milliseconds), else the number before a unit."""
-    tagged = r"(?i)(?:time|elapsed)\s*=\s*([0-9]+(?:\.[0-9]+)?)\s*(ms|us|ns|s)?"
-    plain = r"(?i)(?:^|[\s:])([0-9]+(?:\.[0-9]+)?)\s*(ms|us|ns|s|secs?|seconds)\b"
-    unit = lambda u, bare: F.when(u == "", bare).when(u == "ms", 1e-3).when(u == "us", 1e-6).when(u == "ns", 1e-9).otherwise(1.0)
-    pick = lambda rx, bare: F.regexp_extract(line, rx, 1).try_cast("double") * unit(F.lower(F.regexp_extract(line, rx, 2)), F.lit(bare))
-    return F.coalesce(pick(tagged, 1e-3), pick(plain, 1.0))
+def split_top_level(text: Column) -> Column:
+    """Parts between the commas outside parentheses; a closing one too many changes nothing."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("depth"))
+
+    def step(s: Column, c: Column) -> Column:
+        cut = (c == ",") & (s["depth"] == 0)
+        depth = F.when(c == "(", s["depth"] + 1).when(c == ")", F.greatest(F.lit(0), s["depth"] - 1)).otherwise(s["depth"])
+        return F.struct(F.when(cut, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.when(cut, "").otherwise(F.concat(s["now"], c)).alias("now"), depth.alias("depth"))
+
+    return F.aggregate(F.split(text, ""), start, step, lambda s: F.array_append(s["done"], s["now"]))
+
+
+def namespace(name: Column) -> Column:
+    """struct(namespace, name) of `type T` and `pattern P`; other names have no namespace."""
+    kind = F.when(name.startswith("type "), "type").when(name.startswith("pattern "), "pattern")
+    return F.struct(kind.alias("namespace"), F.when(kind.isNotNull(), F.trim(F.regexp_replace(name, "^(type|pattern) ", ""))).otherwise(name).alias("name"))
+
+
+def redundant_import(message: Column) -> Column:
+    """struct(issue, names) of a message on a redundant import: `names` with the unused ones, or `whole`; null for other messages."""
+    head = r"(?s)^The (?:qualified )?import of .*?(?:\u2018([^\u2019]*)\u2019|`([^']*)')"
+    quoted = F.coalesce(F.nullif(F.regexp_extract(message, head, 1), F.lit("")), F.regexp_extract(message, head, 2))
+    rest = F.regexp_replace(message, head, "")
+    listed = rest.rlike(r"(?s)^\s*from module .*? is redundant")
+    names = F.filter(F.transform(split_top_level(quoted), lambda x: namespace(F.trim(x))), lambda x: x["name"] != "")
+    whole = ~rest.rlike(r"^\s*from module ") & (rest.rlike(r"^\s*is redundant") | rest.contains(" is redundant"))
+    issue = F.when(listed & (F.size(names) > 0), "names").when(whole, "whole")
+    known = message.contains(" is redundant") & message.rlike(head) & issue.isNotNull()
+    return F.when(known, F.struct(issue.alias("issue"), F.when(issue == "names", names).alias("names")))
 
 
-def line_bytes(line: Column) -> Column:
-    """Bytes of a timing line; kb, mb and gb are powers of 1024, floored."""
-    rx = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(bytes|b|kb|mb|gb)\b"
-    unit = F.lower(F.regexp_extract(line, rx, 2))
-    return F.floor(F.regexp_extract(line, rx, 1).try_cast("double") * F.when(unit == "kb", 1024.0).when(unit == "mb", 1024.0**2).when(unit == "gb", 1024.0**3).otherwise(1.0))
+def utf16_length(text: Column) -> Column:
+    """Characters as UTF-16 counts them: two for each beyond the first plane."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
 def estimate_tokens(text: Column) -> Column:
-    return F.ceil(F.length(text) / 4.0)
+    """A token for every four UTF-16 units, rounded up."""
+    return F.ceil(utf16_length(text) / 4.0)
 
 
 def directory_depth(path: Column) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sets import first_occurrence
-
 
 def fingerprint(*identity: Column, body: Column) -> Column:
     """128 bits of a definition's identity and text."""
@@ -14,7 +12,9 @@ def fingerprint(*identity: Column, body: Column) -> Column:
 
 
 def first_by_hash(rows: DataFrame, order: list) -> DataFrame:
-    return first_occurrence(rows, ["hash"], order)
+    """The first row of each hash, by a total order; an aggregate, so that copies meet as one row per task."""
+    first = rows.groupBy("hash").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_r"))
+    return first.select(*(F.col("_r")[c].alias(c) for c in rows.columns))
 
 
 def deliver(page: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -29,6 +29,11 @@ def matching(keys: DataFrame, occ: str, module: str | None = None, owner: str |
     return found
 
 
+def completions(names: DataFrame, prefix: str) -> DataFrame:
+    """Distinct names with a prefix, in order; a literal prefix reaches the scan."""
+    return names.where(F.col("name").startswith(prefix)).select("name").distinct().orderBy("name")
+
+
 def roots(nodes: DataFrame, parents: DataFrame, most: int = 64) -> DataFrame:
     """(node, root, steps): the last node of each parent chain. nodes: (node), parents: (node, parent), one parent at most.
 

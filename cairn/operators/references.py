@@ -37,8 +37,12 @@ def occurrence_owners(occurrences: DataFrame, members: DataFrame, root_names: Da
 
 
 def reference_index(occurrences: DataFrame) -> DataFrame:
-    """Distinct (name, def_id, s, e) of followable occurrences: not the definition's own name, and with a module. occurrences: (def_id, own, name, module, s, e)."""
-    return occurrences.where("module is not null and not (name <=> own)").select("name", "def_id", "s", "e").distinct()
+    """Distinct (name, def_id, s, e) of followable occurrences: not the definition's own name, with a module, and not defined within the definition.
+
+    occurrences: (def_id, own, name, module, s, e, defined), `defined` for names that the definition's span itself defines; it may be missing.
+    """
+    inside = F.coalesce(F.col("defined"), F.lit(False)) if "defined" in occurrences.columns else F.lit(False)
+    return occurrences.where("module is not null and not (name <=> own)").where(~inside).select("name", "def_id", "s", "e").distinct()
 
 
 def find_references(targets: DataFrame, index: DataFrame, order: list, skip: int = 0, limit: int | None = PAGE) -> tuple[DataFrame, dict | None]:

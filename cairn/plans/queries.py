@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import canonical, compact_diagnostic, edit_distance, estimate_tokens, matches_glob, max_distance, tokenize
+from ..functions.text import canonical, compact_diagnostic, edit_distance, estimate_tokens, matches_glob, max_distance, near, tokenize
 from ..operators import diagnostics, graph, knowledge, lookup, references, search, sessions, sets, spans, tree
 from ..tables import table
 
@@ -69,11 +69,11 @@ def tokenize_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) token FROM documents WHERE lang = 'en') "
+    "WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) token FROM documents) "
     f"SELECT token, {_sql_canonical('token')} canon, count(*) n FROM w GROUP BY token"
 )
 def canonical_tokens(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).select(F.lower("token").alias("token"))
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).select(F.lower("token").alias("token"))
     return w.groupBy("token").agg(F.count("*").alias("n")).select("token", canonical(F.col("token")).alias("canon"), "n")
 
 
@@ -89,22 +89,23 @@ def postings_df_idf(spark: SparkSession, d: str) -> DataFrame:
     return search.field_statistics(search.doc_tokens(part_values(spark, d))).withColumn("idf", F.round("idf", 6))
 
 
-_WORDS = ["large", "widget"]
-
-
 @query(
-    _STATS + ", q AS (SELECT * FROM (VALUES ('large', 'large'), ('widget', 'widget')) v(q, qc)), item AS (SELECT symbol, field, q, "
-    "CASE field WHEN 'name' THEN 1.0 WHEN 'module' THEN 0.45 ELSE 0.65 END * CASE WHEN t.token = q THEN 1.0 ELSE 0.95 END * idf c "
-    "FROM tokens t JOIN stats s USING (field, token) JOIN q ON t.canon = qc), best AS (SELECT symbol, q, max(c) c, max((field = 'name')::int) named FROM item GROUP BY ALL), "
-    "total AS (SELECT symbol, sum(c) s, count(*) k, sum(named) named FROM best GROUP BY ALL), size AS (SELECT symbol, count(*) n FROM tokens WHERE field = 'name' GROUP BY ALL) "
-    "SELECT symbol, round(s - 0.75 * (2 - k) + CASE WHEN named >= 2 THEN 0.5 * named / 2 ELSE 0 END + 0.6 * named / n, 6) score FROM total JOIN size USING (symbol) ORDER BY score DESC, symbol LIMIT 10"
+    _STATS + ", o AS (SELECT symbol, field, token, CASE field WHEN 'name' THEN 1.0 WHEN 'module' THEN 0.45 ELSE 0.65 END * idf c FROM tokens JOIN stats USING (field, token) WHERE token IN ('large', 'widget')), "
+    "x AS (SELECT symbol, max(CASE WHEN token = 'large' AND field = 'name' THEN c END) an, max(CASE WHEN token = 'large' AND field <> 'name' THEN c END) ac, max(CASE WHEN token = 'widget' AND field = 'name' THEN c END) bn, max(CASE WHEN token = 'widget' AND field <> 'name' THEN c END) bc FROM o GROUP BY symbol), "
+    "ch AS (SELECT symbol, coalesce(a, 0) + coalesce(b, 0) - 0.75 * ((a IS NULL)::int + (b IS NULL)::int) + CASE WHEN ak AND bk THEN 0.5 ELSE 0 END + 0.6 * (ak::int + bk::int) / n s FROM (SELECT symbol, unnest([{'v': an, 'k': an IS NOT NULL}, {'v': ac, 'k': false}, {'v': NULL, 'k': false}]) o1, bn, bc FROM x) "
+    "CROSS JOIN LATERAL (SELECT o1.v a, o1.k ak) CROSS JOIN LATERAL (SELECT unnest([bn, bc, NULL]) b, unnest([bn IS NOT NULL, false, false]) bk) JOIN (SELECT symbol, count(*) n FROM tokens WHERE field = 'name' GROUP BY ALL) USING (symbol)), "
+    "best AS (SELECT symbol, p_name, p_brand, round(max(s), 9) s, (p_name = 'large widget')::int ex FROM ch JOIN part ON symbol = p_partkey GROUP BY ALL), "
+    "nm AS (SELECT p_name, max({'ex': ex, 's': s}) b FROM best GROUP BY p_name), place AS (SELECT p_name, b.s score, row_number() OVER (ORDER BY b DESC, damerau_levenshtein(p_name, 'large widget'), p_name) place FROM nm) "
+    "SELECT place, p_name AS name, round(score, 6) score, (SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FROM best WHERE best.p_name = place.p_name) modules FROM place WHERE place <= 10"
 )
-def search_exact_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.score_in_order(search.doc_tokens(part_values(spark, d)), _WORDS)
+def search_full(spark: SparkSession, d: str) -> DataFrame:
+    """Two words over all parts, by the ranking itself; its SQL tries every choice of evidence."""
+    r = search.search_symbols(part_values(spark, d), "large widget")
+    return r.select(F.row_number().over(Window.orderBy("place")).cast("long").alias("place"), "name", F.round("score", 6).alias("score"), F.array_join("modules", ",").alias("modules"))
 
 
 @query()
-def search_full(spark: SparkSession, d: str) -> DataFrame:
+def search_synonym_typo(spark: SparkSession, d: str) -> DataFrame:
     groups = spark.createDataFrame([(1, "large"), (1, "big"), (2, "gear wheel"), (2, "cog")], "group_id int, term string")
     return search.search_symbols(part_values(spark, d), "big wdget", search.synonym_pairs(groups))
 
@@ -119,8 +120,8 @@ _TYPOS = [("wdget", 0), ("larg", 1), ("smlal", 2), ("gaer", 3), ("boltt", 4), ("
 def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     q = spark.createDataFrame([(w,) for w, _ in _TYPOS], "q string")
     v = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("token")).distinct()
-    near = v.join(F.broadcast(q), F.abs(F.length("q") - F.length("token")) <= max_distance(F.length("q")))  # six literal rows
-    return near.withColumn("distance", edit_distance("q", "token").cast("long")).where(F.col("distance") <= max_distance(F.length("q"))).select("q", "token", "distance")
+    close = v.join(F.broadcast(q), near(F.col("q"), F.col("token"), max_distance(F.length("q"))))  # six literal rows
+    return close.withColumn("distance", edit_distance("q", "token").cast("long")).where(F.col("distance") <= max_distance(F.length("q"))).select("q", "token", "distance")
 
 
 @query(
@@ -152,11 +153,11 @@ def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey src, 's' || l_suppkey dst FROM lineitem WHERE l_quantity = 50 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity = 50), "
+    "WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey src, 's' || l_suppkey dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), "
     "w AS (SELECT 'p1' node UNION SELECT 's1' UNION SELECT dst FROM w JOIN e ON node = src) SELECT node FROM w"
 )
 def closure_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_quantity = 50").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s")).distinct()
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s")).distinct()
     e = li.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(li.select("s", "p"))
     return graph.bfs(spark.createDataFrame([("p1",), ("s1",)], "node string"), e).select("node")
 
@@ -312,8 +313,7 @@ def latest_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH h AS (SELECT doc_id, md5(coalesce(text, '')) hash FROM documents) SELECT min(doc_id) doc_id, hash FROM h GROUP BY hash")
 def fingerprint_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """First occurrence by hash: an aggregate rather than a window, so copies meet as one row per task."""
-    return table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash")).groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    return knowledge.first_by_hash(table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash")), ["doc_id"])
 
 
 @query(
@@ -383,11 +383,9 @@ def resolve_symbols(spark: SparkSession, d: str) -> DataFrame:
     return search.resolve_unique(q, table(spark, d, "part").select(F.lower("p_name").alias("occ"), F.col("p_brand").alias("root")))
 
 
-@query("SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, (SELECT left(min(p_name), 2) FROM part)) ORDER BY 1")
+@query("SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, 'b') ORDER BY 1")
 def prefix_completion(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_name")
-    prefix = p.agg(F.left(F.min("p_name"), F.lit(2)).alias("x"))  # a single row
-    return p.join(F.broadcast(prefix), F.col("p_name").startswith(F.col("x"))).select("p_name").distinct().orderBy("p_name")
+    return lookup.completions(table(spark, d, "part").select(F.col("p_name").alias("name")), "b").withColumnRenamed("name", "p_name")
 
 
 @query("SELECT p_brand module, list_sort(list(DISTINCT p_type))::varchar names FROM part GROUP BY p_brand")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def timing_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modified, line) of timing dumps below a folder."""
-    d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*timings").text(path)
-    return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("line"))
+    """(path, modified, line_no, line) of timing dumps below a folder; a dump is one module's, so it is read whole."""
+    d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*timings").text(path, wholetext=True)
+    lines = F.posexplode(F.split("value", "\n")).alias("line_no", "line")
+    return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), lines)
 
 
 def baseline(spark: SparkSession, path: str, limit: int = 2_000_000) -> DataFrame:

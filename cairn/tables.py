@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the folder the executors share (spark.checkpoint.dir) and read them back; loops stay flat and survive lost executors."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir). In local mode one of our own where the session names none; on a cluster that is an error."""
+    sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
-    path = f"{named}/cairn-{uuid.uuid4().hex}"
+    return named
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the rows to the folder the executors share and read them back; loops stay flat and survive lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no plan needs any more."""
+    for df in tables:
+        if path := getattr(df, "_cairn_path", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

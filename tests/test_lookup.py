@@ -79,12 +79,15 @@ def test_edits(spark):
     t = spark.createDataFrame([("f", "hello world"), ("g", "same"), ("n", None)], "file string, text string")
     e = spark.createDataFrame([("f", 0, 5, "bye"), ("f", 6, 11, "moon"), ("f", 6, 11, "moon"), ("f", 5, 99, "stale"), ("g", 0, 3, "x"), ("g", 2, 4, "y")], "file string, s int, e int, text string")
     assert rows(diagnostics.apply_edits(t, e), "file") == [("f", "bye moon"), ("g", "same"), ("n", None)]
+    inserts = spark.createDataFrame([("f", 5, 5, "a", None), ("f", 5, 5, "b", None), ("f", 0, 5, "hallo", "hello"), ("f", 6, 11, "x", "wrong")], "file string, s int, e int, text string, expected string")
+    kept, warned = diagnostics.valid_edits(t, inserts)
+    assert [tuple(r) for r in kept.collect()] == [("f", 0, 5, "hallo")] and sorted((r.s, r.warning) for r in warned.collect()) == [(5, "conflict"), (5, "conflict"), (6, "stale")]
 
 
 def test_snippets_and_summary(spark):
-    d = spark.createDataFrame([(1, "f", 3, 3), (2, "f", None, None)], "seq int, file string, sl int, el int")
+    d = spark.createDataFrame([(1, "f", 3, 2, 4, 2), (2, "f", None, None, None, None)], "seq int, file string, sl int, sc int, el int, ec int")
     lines = spark.createDataFrame([("f", i, f"l{i}") for i in range(1, 6)], "file string, line int, text string")
-    assert rows(diagnostics.snippets(d, lines), "line") == [(1, "f", 1, False, "l1"), (1, "f", 2, False, "l2"), (1, "f", 3, True, "l3")]
+    assert rows(diagnostics.snippets(d, lines), "line") == [(1, "f", 1, False, "l1", None), (1, "f", 2, False, "l2", None), (1, "f", 3, True, "l3", " ^"), (1, "f", 4, True, "l4", "^")]
     m = spark.createDataFrame([("a", True), ("a", False), ("b", False)], "module string, loaded boolean")
     assert tuple(diagnostics.load_summary(m).first()) == (1, 1, 2, "partial", True)
     assert diagnostics.load_summary(m.limit(0)).first().status == "empty"

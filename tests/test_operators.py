@@ -80,8 +80,26 @@ def search_values(spark, *rows):
 
 def test_search(spark):
     v = search_values(spark, (1, "name", "readFile"), (2, "name", "readFileLines"), (3, "name", "write"), (3, "module", "Read.File"), (4, "name", "fileRead"))
-    got = [r.symbol for r in search.search_symbols(v, "readFile").collect()]
-    assert got[0] == 1 and set(got) == {1, 2, 3, 4} and got.index(2) < got.index(4)
+    got = [r.name for r in search.search_symbols(v, "readFile").collect()]
+    assert got[0] == "readFile" and set(got) == {"readFile", "readFileLines", "write", "fileRead"} and got.index("readFileLines") < got.index("fileRead")
+    scoped = lambda q, **k: [r.name for r in search.search_symbols(v, q, **k).collect()]
+    assert scoped("Read.File.write") == ["write"] and scoped("readFile", patterns=["R*d.*"]) == ["write"] and scoped("readFile", limit=1) == ["readFile"]
+
+
+def test_search_documents(spark):
+    """Aliases, repeated rows and modules of one symbol are one document; names that differ in case are one suggestion."""
+    rows = [(1, "readAll", "M.A", ["slurp"], ["M.B"], None, ["Handle"]), (1, "readAll", "M.A", ["gulp"], ["M.C"], None, None), (2, "Slurp", "N", None, None, ["Text"], None)]
+    d = spark.createDataFrame(rows, "symbol int, occ string, module string, aliases array<string>, exported_from array<string>, results array<string>, arguments array<string>")
+    values, names, modules = search.documents(d)
+    assert sorted(r.variant for r in names.where("symbol = 1").collect()) == ["gulp", "slurp"] and values.where("symbol = 1 and field = 'name'").count() == 3
+    got = search.search_symbols(values, "slurp", names=names, modules=modules).collect()
+    assert [(r.name, r.modules) for r in got] == [("slurp", ["M.A", "M.B", "M.C", "N"])]
+    assert search.parse_query("A.B'.f.g@T") == ("A.B'", "f.g", "T") and search.parse_query("(+++)") == (None, "+++", None)
+
+
+def test_synonym_group_errors(spark):
+    g = spark.createDataFrame([(1, "a1"), (2, "box"), (2, "boxes"), (3, "x1"), (3, ""), (4, "p1"), (4, "q1")], "group_id int, term string")
+    assert {(r.group_id, r.problem) for r in search.group_errors(g).collect()} == {(1, "too_few_terms"), (2, "same_terms"), (3, "empty_term"), (3, "same_terms")}
 
 
 def test_repeated_terms_do_not_multiply(spark):
@@ -145,15 +163,39 @@ def test_tree(spark):
 
 
 def test_diagnostics(spark):
-    lines = spark.createDataFrame([("d/M.timings", 1, "pass [My.Mod]: time=500"), ("d/M.timings", 1, "alloc 1kb")], "path string, modified int, line string")
+    lines = spark.createDataFrame([("d/M.p.timings", 1, 1, "pass [1], [My.Mod]: time=500"), ("d/M.p.timings", 1, 2, "[Al.Pha] [Ze.D] alloc=1kb"), ("d/M.p.timings", 1, 3, "used 1,024 bytes"), ("d/N.dyn.x", 1, 1, "time=1")], "path string, modified int, line_no int, line string")
     s = diagnostics.timing_samples(lines).first()
-    assert (s.module, s.variant, s.seconds, s.bytes) == ("My.Mod", "normal", 0.5, 1024)
+    assert (s.module, s.variant, s.seconds, s.bytes) == ("Al.Pha", "profiling", 0.5, 2048) and diagnostics.timing_samples(lines).count() == 1
     assert diagnostics.test_summary(spark.createDataFrame([], "status string")).first().verdict == "no tests"
     e = spark.createDataFrame([("f", 0, 2, "a"), ("f", 1, 3, "b"), ("f", 5, 6, "c"), ("f", 5, 6, "c")], "file string, s int, e int, text string")
     assert [r.text for r in diagnostics.conflicting_edits(e).collect()] == ["c"]
     assert diagnostics.retry_until_stable(lambda: (False, "same")) == (False, 1)
 
 
+def test_components_of_cycles(spark):
+    """Against mutual reachability written out, on random graphs with cycles of cycles."""
+    import random
+
+    rng = random.Random(5)
+    for n, m in ((12, 16), (30, 45), (8, 40)):
+        e = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {i: {i} for i in range(n)}
+        for _ in range(n):
+            for a, b in e:
+                for s in reach.values():
+                    if a in s:
+                        s.add(b)
+        want = {i: min(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n)}
+        got = graph.components_of(spark.createDataFrame(sorted(e), "src long, dst long"), spark.range(n).withColumnRenamed("id", "node"))
+        assert as_dict(got) == want
+
+
+def test_walk_of_many_rounds(spark):
+    e = spark.createDataFrame([(i, i + 1, 0) for i in range(25)] + [(25, 0, 0)], "src long, dst long, ord int")
+    assert [tuple(r) for r in graph.walk(spark.createDataFrame([(0, 5), (0, 7)], "node long, ord int"), e).orderBy("depth").collect()] == [(i, i, 1) for i in range(26)]
+    assert graph.bfs(spark.createDataFrame([(0,)], "node long"), e).agg({"depth": "max", "*": "count"}).first()[:2] in ((25, 26), (26, 25))
+
+
 def test_order(spark):
     r = spark.createDataFrame([("d1", "A", 1, 0), ("d1", "A", 1, 2), ("d2", "B", 1, 1)], "def_id string, module string, line int, depth int")
     assert [x.def_id for x in spans.definition_order(r).collect()] == ["d1", "d2"]
