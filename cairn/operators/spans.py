@@ -11,14 +11,22 @@ def span_size(start_line: Column, start_col: Column, end_line: Column, end_col:
     return (end_line - start_line) * 10_000 + (end_col - start_col)
 
 
+#: Block sizes of containment joins, from `block` on, each so many times the last, and their number.
+STEP, LEVELS = 16, 6
+
+
 def contained(inner: DataFrame, outer: DataFrame, by: str = "file", block: int = 64) -> DataFrame:
     """inner (by, i, s, e) joined to the outer spans (by, o, os, oe) of its file that contain it.
 
-    Outer spans are listed under every block of lines they touch and inner ones under the block of their
-    start, so the join is by (file, block) and a large file is spread.
+    An outer span is listed under the blocks that it touches of the smallest size it does not outgrow `STEP` times, so
+    under few whatever its length; an inner one under the block of its start at each size that outer spans have. The
+    join is by (file, size, block), and a large file is spread.
     """
-    o = outer.withColumn("block", F.explode(F.sequence(F.floor(F.col("os") / block), F.floor(F.col("oe") / block))))
-    return inner.withColumn("block", F.floor(F.col("s") / block)).join(o, [by, "block"]).where("os <= s and e <= oe").drop("block")
+    sizes = F.array(*(F.lit(block * STEP**k).cast("long") for k in range(LEVELS)))
+    fits = F.filter(sizes, lambda x: F.col("oe") - F.col("os") < x * STEP)
+    o = outer.withColumn("size", F.coalesce(F.get(fits, F.lit(0)), F.lit(block * STEP ** (LEVELS - 1)).cast("long")))
+    o = o.withColumn("block", F.explode(F.sequence(F.floor(F.col("os") / F.col("size")), F.floor(F.col("oe") / F.col("size")))))
+    return inner.withColumn("size", F.explode(sizes)).withColumn("block", F.floor(F.col("s") / F.col("size"))).join(o, [by, "size", "block"]).where("os <= s and e <= oe").drop("block", "size")
 
 
 def narrowest(pairs: DataFrame) -> DataFrame:
@@ -27,18 +35,27 @@ def narrowest(pairs: DataFrame) -> DataFrame:
 
 
 def nest(regions: DataFrame) -> DataFrame:
-    """(file, id, s, e) -> parent: the smallest region that strictly contains it, or null."""
-    inner = regions.select("file", F.col("id").alias("i"), "s", "e")
+    """(file, id, s, e) -> parent: the smallest region of the file that strictly contains it, or null."""
+    inner = regions.select("file", F.struct("file", "id").alias("i"), "s", "e")
     pairs = contained(inner, regions.select("file", F.col("id").alias("o"), F.col("s").alias("os"), F.col("e").alias("oe"))).where("oe - os > e - s")
-    return inner.join(narrowest(pairs), "i", "left").select("file", F.col("i").alias("id"), F.col("o").alias("parent"))
+    return inner.join(narrowest(pairs), "i", "left").select("file", F.col("i.id").alias("id"), F.col("o").alias("parent"))
+
+
+def coalesce_ranges(ranges: DataFrame, by: str, gap: int = 2, block: int = 1 << 16) -> DataFrame:
+    """(by, s, e): ranges merged when the next begins at most `gap` after the last one's end.
+
+    Ranges are merged within the block of their start first, so that a file with very many is dealt to many tasks; what
+    those leave is merged in one.
+    """
 
+    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("s", "e")
+        reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w))
+        return marked.groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
-def coalesce_ranges(ranges: DataFrame, by: str, gap: int = 2) -> DataFrame:
-    """(by, s, e): ranges merged when the next begins at most `gap` after the last one's end."""
-    w = Window.partitionBy(by).orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
-    return marked.groupBy(by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    own = merged(ranges.withColumn("_block", F.floor(F.col("s") / block)), [by, "_block"]).drop("_block")
+    return merged(own, [by]).select(by, "s", "e")
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
