@@ -112,3 +112,33 @@ def merge_options(rows: DataFrame) -> DataFrame:
 
     won = F.aggregate(F.slice("c", 2, F.size("c")), F.col("c")[0], step)
     return held.select("module", won.alias("w")).select("module", "w.component", "w.kind", "w.options", "w.conflict")
+
+
+def associated_instances(mentions: DataFrame, name: str) -> DataFrame:
+    """Instances that mention a name, once each by their own name. mentions: (instance, name)."""
+    return mentions.where(F.col("name") == name).select("instance").distinct()
+
+
+def index_modules(start: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Modules and the orphan modules that they need, to the end. start: (node); orphans: (src, dst)."""
+    from .graph import bfs
+
+    return bfs(start, orphans).select("node")
+
+
+def symbol_info(matches: DataFrame, skip: int = 0, limit: int | None = None) -> tuple[DataFrame, dict | None]:
+    """A page of exact matches, of those with one root the closest to it, by root. matches: (root, symbol, steps)."""
+    from .sets import page
+
+    return page(nearest_per_root(matches), ["root"], skip, limit)
+
+
+def resolve_all(found: DataFrame, hints: int = 5) -> DataFrame:
+    """(query, status, root, hints): all queries resolve, or none does: a query with no root is missing, with several ambiguous and gets their names as hints.
+
+    found: (query, root), a null root for queries without any.
+    """
+    per = found.groupBy("query").agg(F.countDistinct("root").alias("n"), F.min("root").alias("root"), F.array_sort(F.collect_set("root")).alias("roots"))
+    status = F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
+    bad = per.agg(F.bool_or(F.col("n") != 1).alias("bad"))  # a single row
+    return per.join(F.broadcast(bad)).select("query", status.alias("status"), F.when(~F.col("bad"), F.col("root")).alias("root"), F.when(F.col("n") > 1, F.slice("roots", 1, hints)).otherwise(F.array().cast("array<string>")).alias("hints"))

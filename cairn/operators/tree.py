@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, is_hidden
+from ..functions.text import extension, is_ancestor_or_self, is_hidden
 
 
 def roll_up(paths: DataFrame) -> DataFrame:
@@ -51,3 +51,39 @@ def collapse_chains(directories: DataFrame) -> DataFrame:
     both = links.select("src", "dst").union(links.select(F.col("dst"), F.col("src")))
     of = components_of(both, directories.select(F.col("path").alias("node")))
     return of.groupBy("component").agg(F.min_by("node", F.length("node")).alias("top"), F.max_by("node", F.length("node")).alias("bottom")).select("top", "bottom")
+
+
+#: Names of directories that are opened first, in this order.
+OPEN_FIRST = ["src", "app", "lib", "migrations", "migration", "database", "db", "schema", "sql", "test", "tests", "spec", "bench", "examples", "scripts", "config"]
+
+
+def related(path: Column, focus: list[str]) -> Column:
+    """Whether a path lies on the way to, or below, one of the paths in focus."""
+    out = F.lit(False)
+    for f in focus:
+        out = out | is_ancestor_or_self(path, F.lit(f)) | is_ancestor_or_self(F.lit(f), path)
+    return out
+
+
+def open_priority(entries: DataFrame, focus: list[str]) -> DataFrame:
+    """Entries (path, is_dir) with the key that they are opened by: focus, known names, their order; files last."""
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    rank = F.array_position(F.array(*map(F.lit, OPEN_FIRST)), name)
+    focused = related(F.col("path"), [f for f in focus if f != "."])
+    last = (1 << 31) - 1
+    key = F.when(F.col("is_dir"), F.struct(F.when(focused, 0).otherwise(1).alias("focus"), F.when(rank > 0, 1).otherwise(2).alias("category"), F.when(rank > 0, rank - 1).otherwise(last).cast("long").alias("name")))
+    return entries.withColumn("key", F.coalesce(key, F.struct(F.lit(4).alias("focus"), F.lit(4).alias("category"), F.lit(last).cast("long").alias("name"))))
+
+
+def should_open(path: Column, ignored: Column, focus: list[str]) -> Column:
+    """Whether a directory is opened: the root, what is in focus, else what is neither hidden nor ignored and, with a focus, related to it."""
+    named = path.isin(*focus) if focus else F.lit(False)
+    near = related(path, focus) if focus else F.lit(True)
+    return (path == ".") | named | (~is_hidden(path) & ~ignored & near)
+
+
+def omissions(entries: DataFrame, shown: DataFrame) -> DataFrame:
+    """(dir, directories, files) left out of each directory. entries: (path, is_dir); shown: (path)."""
+    left = entries.join(shown.select("path"), "path", "left_anti")
+    parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]+$", "")).otherwise(".")
+    return left.groupBy(parent.alias("dir")).agg(F.count_if("is_dir").alias("directories"), F.count_if(~F.col("is_dir")).alias("files"))

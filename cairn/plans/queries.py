@@ -255,7 +255,7 @@ def range_containment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WITH r AS (SELECT l_partkey, date_diff('day', DATE '1992-01-01', l_shipdate::date) s FROM lineitem), m AS (SELECT *, max(s) OVER (PARTITION BY l_partkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM r), "
-    "g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 32 THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey ORDER BY s ROWS UNBOUNDED PRECEDING) k FROM m) SELECT l_partkey, min(s) s, max(s) e FROM g GROUP BY l_partkey, k"
+    "g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 32 THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey ORDER BY s RANGE UNBOUNDED PRECEDING) k FROM m) SELECT l_partkey, min(s) s, max(s) e FROM g GROUP BY l_partkey, k"
 )
 def interval_coalesce(spark: SparkSession, d: str) -> DataFrame:
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long")
