@@ -138,7 +138,7 @@ def depths(nodes: DataFrame, edges: DataFrame, cost: str | None = None) -> DataF
     n = materialise(nodes.select("node", own.alias("own")).distinct())
     left = materialise(edges.select("src", "dst").distinct())
     front = materialise(n.join(left.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.col("own").alias("depth")))
-    best, done = None, [front]
+    best, held, done = None, None, [front]
     while not front.isEmpty():
         at = front.select(F.col("node").alias("dst"), "depth")
         hit = left.join(at, "dst").select(F.col("src").alias("node"), "depth")
@@ -148,9 +148,8 @@ def depths(nodes: DataFrame, edges: DataFrame, cost: str | None = None) -> DataF
         waits = rest.select(F.col("src").alias("node")).distinct()
         ready = best_now.join(waits, "node", "left_anti").join(n, "node")
         front = materialise(ready.select("node", ((F.col("own") if cost else F.lit(1)) + F.col("depth")).alias("depth")))
-        kept = materialise(best_now.join(waits, "node", "left_semi"))
-        discard(left, best_now, *([best] if best is not None else []))
-        left, best = rest, kept
+        discard(left, *([held] if held is not None else []))
+        left, held, best = rest, best_now, best_now.join(waits, "node", "left_semi")
         done.append(front)
     if not left.isEmpty():
         raise ValueError("the graph has a cycle")
