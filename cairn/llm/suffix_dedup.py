@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, byte_buffer, lean, mix, pack_arrays, release, unit_hash, unpack_arrays
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text per bucket, the most ranges that splitters make, and the longest piece of a text taken at once.
-BUCKET_BYTES, MAX_RANGES, SEGMENT = 12 << 20, 50_000, 2 << 20
+BUCKET_BYTES, MAX_RANGES, SEGMENT = 6 << 20, 50_000, 2 << 20
 BLOCK = 3 << 20
 #: Low bits of a window's key that hold its place; texts are taken in groups of no more bytes than that.
 PLACE_BITS = 24
@@ -50,11 +50,17 @@ RUNS, WINDOWS, SPANS = 0, 1, 2
 def rolling(data: np.ndarray) -> np.ndarray:
     """A mixed hash of the GRAM bytes from each position on (positions near the end hash what is there)."""
     h, power, width = data.astype(np.uint64) + np.uint64(1), PRIME, 1
+    out, done = np.zeros(len(data), np.uint64), 0
     with np.errstate(over="ignore"):
-        while width < GRAM:
+        while width <= GRAM:
+            if GRAM & width:  # GRAM as a sum of powers of two
+                out *= power
+                out[: len(data) - done] += h[done:]
+                done += width
             nxt = h * power
             nxt[:-width] += h[width:]
             h, power, width = nxt, power * power, 2 * width
+    h = out
     return mix(h)
 
 
@@ -278,7 +284,7 @@ def _split(batch: pa.RecordBatch, plan: tuple[np.ndarray, np.ndarray, int, int])
         size = count[m] + LENGTH - 1
         place = np.repeat(first[m] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         docs, which = np.unique(who[m], return_inverse=True)
-        yield int(k), RUNS, pack_arrays(own[place], count[m].astype(np.uint8), (anchor[m] - first[m]).astype(np.uint8), ids[docs], rid[docs], which.astype(np.uint32), pos[m])
+        yield int(k), RUNS, pack_arrays(own[place], count[m].astype(np.uint8), (anchor[m] - first[m]).astype(np.uint8), ids[docs], rid[docs], which.astype(np.uint32), pos[m].astype(np.int32) if len(pos) and pos.max() < 1 << 31 else pos[m])
 
 
 def later(windows: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -298,6 +304,7 @@ def _bucket(payloads: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray,
     got = [unpack_arrays(raw) for kind, raw in payloads if kind == RUNS]
     if got:
         data, count, back, pos = (np.concatenate([g[i] for g in got]) for i in (0, 1, 2, 6))
+        pos = pos.astype(np.int64)
         doc, rid = (np.concatenate([g[i][g[5]] for g in got]) for i in (3, 4))
         del got
         count, back = count.astype(np.int64), back.astype(np.int64)
