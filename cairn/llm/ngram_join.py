@@ -254,7 +254,9 @@ def refine(wide: DataFrame, common: np.ndarray, percent: int, seed: int) -> Data
                 off = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw]))).astype(np.int64)
                 owner, key = signatures(np.frombuffer(b"".join(raw), np.uint64), off, shared.value, percent, seed)
                 ids, cluster = (part.column(c).to_numpy() for c in ("doc_id", "component"))
-                yield _rows((PART, (key ^ mix(cluster.astype(np.uint64))[owner]).view(np.int64), ids[owner], 0, 0))
+                key ^= mix(cluster.astype(np.uint64))[owner]
+                first, u, v = stars(key, ids[owner])
+                yield _rows((PART, key[first].view(np.int64), ids[owner][first], 0, 0), (LINK, u, u, v, 0))
 
     alone = wide.mapInArrow(lean(spread), "component long, shingle long, doc_id long").groupBy("component", "shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     size = F.octet_length("shingles") / 8
@@ -430,24 +432,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     cluster = components(rows.where(F.col("kind") == LINK).select("a", "b"))
     # of equal sets one document is searched for
     members = materialise(cluster.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("doc_id"), "component"))
-    several = lambda x: x.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
-    sets = materialise(d.join(spread_join(members, several(members).select("component")), "doc_id").mapInArrow(lean(as_sets), "doc_id long, component long, shingles binary"))
+    single = members.groupBy("component").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1").select("doc_id")
+    widths = lambda x: x.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_DOCS)
+    sets = materialise(d.join(members.join(single, "doc_id", "left_anti"), "doc_id").mapInArrow(lean(as_sets), "doc_id long, component long, shingles binary"))
     discard(cluster, members)
     # clusters of more than a block are taken apart as far as that goes
     narrow, left, tables = [], None, [rows, sets]
     for seed in range(1, ROUNDS + 1):
-        sizes = several(sets)
-        before, left = left, sizes.where(F.col("m") > BLOCK_DOCS).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        before, left = left, widths(sets).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
         if not left or before and left > 0.8 * before:
             break
-        wide = sizes.where(F.col("m") > BLOCK_DOCS).select("component")
+        wide = widths(sets).select("component")
         narrow.append(spread_join(sets, wide, "left_anti").select("doc_id", "component", "shingles"))
         sets = refine(spread_join(sets, wide).select("doc_id", "component", "shingles"), common, percent, seed)
         tables.append(sets)
     for x in narrow:
         sets = sets.union(x)
-    counts = several(sets).withColumn("blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int"))
-    sets = materialise(spread_join(sets, counts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "component", "blocks", "block", "shingles"))
+    counts = widths(sets).select("component", F.ceil(F.col("m") / BLOCK_DOCS).cast("int").alias("blocks"))
+    sets = materialise(spread_join(sets, counts, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "component", "blocks", "block", "shingles"))
     tables.append(sets)
     big = sets.where("blocks > 1")
     chosen = big.groupBy("component").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id"))["doc_id"].alias(f"p{k}") for k in range(PIVOTS)))
