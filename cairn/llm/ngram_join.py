@@ -45,6 +45,8 @@ BLOCK_DOCS, PIVOTS = 256, 4
 ROUNDS, SALTS = 4, 32
 #: Edges held in a task before they go out, and documents held in a search before it runs.
 EDGES, HELD_DOCS = 500_000, 1024
+#: Bytes of sets that are worked on at once where rows need not be together.
+SET_BYTES = 2 << 20
 #: Documents sampled for common shingles, the share of them that makes a shingle common, and the most such shingles kept.
 SAMPLE_DOCS, COMMON_SHARE, MAX_COMMON = 20_000, 0.001, 200_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -238,25 +240,21 @@ def refine(wide: DataFrame, common: np.ndarray, percent: int, seed: int) -> Data
     shared = wide.sparkSession.sparkContext.broadcast(common)
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, "shingles", SET_BYTES):
             n = pc.binary_length(b.column("shingles")).to_numpy() // 8
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                flat = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
-                each = [pa.array(np.repeat(part.column(c).to_numpy(), n[i : i + 256])) for c in ("component", "doc_id")]
-                yield pa.RecordBatch.from_arrays([each[0], pa.array(flat), each[1]], names=["component", "shingle", "doc_id"])
+            flat = np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.int64)
+            each = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("component", "doc_id")]
+            yield pa.RecordBatch.from_arrays([each[0], pa.array(flat), each[1]], names=["component", "shingle", "doc_id"])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                raw = part.column("shingles").to_pylist()
-                off = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw]))).astype(np.int64)
-                owner, key = signatures(np.frombuffer(b"".join(raw), np.uint64), off, shared.value, percent, seed)
-                ids, cluster = (part.column(c).to_numpy() for c in ("doc_id", "component"))
-                key ^= mix(cluster.astype(np.uint64))[owner]
-                first, u, v = stars(key, ids[owner])
-                yield _rows((PART, key[first].view(np.int64), ids[owner][first], 0, 0), (LINK, u, u, v, 0))
+        for b in blocks(batches, "shingles", SET_BYTES):
+            raw = b.column("shingles").to_pylist()
+            off = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw]))).astype(np.int64)
+            owner, key = signatures(np.frombuffer(b"".join(raw), np.uint64), off, shared.value, percent, seed)
+            ids, cluster = (b.column(c).to_numpy() for c in ("doc_id", "component"))
+            key ^= mix(cluster.astype(np.uint64))[owner]
+            first, u, v = stars(key, ids[owner])
+            yield _rows((PART, key[first].view(np.int64), ids[owner][first], 0, 0), (LINK, u, u, v, 0))
 
     alone = wide.mapInArrow(lean(spread), "component long, shingle long, doc_id long").groupBy("component", "shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     size = F.octet_length("shingles") / 8
@@ -387,20 +385,20 @@ def search_at(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
         Small blocks are searched together, and the queries of a block that has many in turns; what is held is bounded by the members of a block.
         """
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, load, last = 0, 0, None
         for batch in batches:
             component, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "block"))
             bounds = np.flatnonzero(np.concatenate(([True], (component[1:] != component[:-1]) | (block[1:] != block[:-1]))))[: len(component)]
             for i, j in zip(bounds.tolist(), [*bounds[1:].tolist(), len(component)], strict=True):
                 now = (component[i], block[i])
-                if size > HELD_DOCS and now != last:
+                if (size > HELD_DOCS or load > SET_BYTES) and now != last:
                     yield links(held)
-                    held, size = [], 0
-                elif size > HELD_DOCS and not batch.column("target")[i].as_py():
+                    held, size, load = [], 0, 0
+                elif (size > HELD_DOCS or load > SET_BYTES) and not batch.column("target")[i].as_py():
                     yield links(held)  # the targets of this block stay for its further queries
-                    held, size = [x for x in (targets(h, now) for h in held) if x.num_rows], 0
+                    held, size, load = [x for x in (targets(h, now) for h in held) if x.num_rows], 0, 0
                 held.append(batch.slice(i, j - i))
-                size += j - i
+                size, load = size + j - i, load + (pc.sum(pc.binary_length(held[-1].column("shingles"))).as_py() or 0)
                 last = now
         if size:
             yield links(held)
