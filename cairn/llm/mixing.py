@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import finished, materialise
+from .common import discard, finished, materialise
 
 ENTROPY, REPEATS, BLOCKS = 0.97, 4.0, 1024
 #: Exponents tried at once, and rounds of that.
@@ -72,28 +72,50 @@ def solve(sizes: DataFrame, budget: float | None = None, entropy: float = ENTROP
     return exponent, float(total), z
 
 
-def mix_sources(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = 11) -> DataFrame:
-    """One row per document: doc_id, source, n_tokens, weight (of its source) and copies (times it is drawn)."""
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """The documents with their source's name, their place in its order and their block of that."""
     order = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
-    d = docs.select("doc_id", "source", F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("s"), tokens(F.col("text").cast("string")).alias("n_tokens"), order.alias("h"))
-    d = materialise(d.withColumn("block", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BLOCKS)).cast("int")))
-    # a row per source and block: bounded by BLOCKS times the number of sources
-    per_block = d.groupBy("s", "block").agg(F.sum("n_tokens").alias("n"))
-    by_source = materialise(per_block.groupBy("s").agg(F.sum("n").alias("n")).where("n > 0"))
-    exponent, total, z = solve(by_source, budget, entropy, repeats)
+    d = docs.withColumns({"_s": F.coalesce(F.col("source").cast("string"), F.lit("\u0000")), "_h": order})
+    return d.withColumns({"_block": F.pmod(F.shiftrightunsigned("_h", 20), F.lit(BLOCKS)).cast("int"), "_n": tokens(F.col("text").cast("string"))})
+
+
+def _plan(counted: DataFrame, budget: float | None, entropy: float, repeats: float) -> DataFrame:
+    """A row per source: weight, whole passes, and the block in which its budget ends, with what comes before it. counted: (_s, _block, n)."""
+    by_source = materialise(counted.groupBy("_s").agg(F.sum("n").alias("size")).where("size > 0"))
+    exponent, total, z = solve(by_source.select(F.col("size").alias("n")), budget, entropy, repeats)
     budget = total if budget is None else float(budget)
-    weight = F.pow(F.col("n") / F.lit(total), F.lit(exponent)) / F.lit(z)
-    tokens_of = F.floor(F.col("weight") * F.lit(budget)).cast("long")
-    plan = by_source.withColumn("weight", weight).select("s", "weight", (tokens_of - F.pmod(tokens_of, "n")).alias("whole"), F.pmod(tokens_of, "n").alias("rest"), F.col("n").alias("size"))
-    plan = plan.select("s", "weight", F.expr("whole div size").alias("passes"), "rest")
-    before = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = per_block.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, "s")
-    # blocks wholly inside or outside the head need no order; the block where the budget ends, one per source, does
-    blocks = blocks.withColumn("head", F.when(F.col("before") + F.col("n") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0))
-    j = d.join(blocks.drop("n"), ["s", "block"], "left")
-    within = Window.partitionBy("s", "block").orderBy("h", "doc_id")
-    out = ["doc_id", "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight")]
-    whole = j.where("head is not null or passes is null").select(*out, (F.coalesce("passes", F.lit(1)) + F.coalesce("head", F.lit(0))).cast("long").alias("copies"))
-    edge = j.where("head is null and passes is not null").withColumn("cum", F.sum("n_tokens").over(within) - F.sum("n_tokens").over(Window.partitionBy("s", "block", "h", "doc_id")))
-    edge = edge.select(*out, (F.col("passes") + (F.col("before") + F.col("cum") < F.col("rest")).cast("long")).alias("copies"))
-    return finished(whole.unionByName(edge), d, by_source)
+    weight = F.pow(F.col("size") / F.lit(total), F.lit(exponent)) / F.lit(z)
+    spent = by_source.withColumn("weight", weight).withColumn("_t", F.floor(F.col("weight") * F.lit(budget)).cast("long"))
+    spent = spent.select("_s", "weight", F.expr("_t div size").alias("passes"), F.pmod("_t", "size").alias("rest"))
+    before = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # at most BLOCKS rows a source
+    blocks = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(spent, "_s")
+    return finished(blocks.where("before <= rest and rest < before + n").select("_s", "weight", "passes", "rest", F.col("_block").alias("edge"), "before"), by_source)
+
+
+def _drawn(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Documents with the weight of their source and their `copies`; only those of the block where a source's budget ends are put in order."""
+    j = keyed.join(plan, "_s", "left")
+    own = [c for c in keyed.columns if not c.startswith("_")]
+    out = [*own, F.col("_n").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight")]
+    head = F.when(F.col("_block") < F.col("edge"), 1).otherwise(0)
+    whole = j.where("edge is null or _block <> edge").select(*out, (F.coalesce("passes", F.lit(1)) + head).cast("long").alias("copies"))
+    within = F.sum("_n").over(Window.partitionBy("_s", "_block").orderBy("_h", "doc_id")) - F.sum("_n").over(Window.partitionBy("_s", "_block", "_h", "doc_id"))
+    edge = j.where("_block = edge").withColumn("_cum", within)
+    return whole.unionByName(edge.select(*out, (F.col("passes") + (F.col("before") + F.col("_cum") < F.col("rest")).cast("long")).alias("copies")))
+
+
+def mix_sources(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = 11) -> DataFrame:
+    """One row per document: doc_id, source, n_tokens, weight (of its source) and copies (times it is drawn)."""
+    d = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    plan = _plan(d.groupBy("_s", "_block").agg(F.sum("_n").alias("n")), budget, entropy, repeats)
+    return finished(_drawn(d, plan), d, plan)
+
+
+def draw(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = 11) -> DataFrame:
+    """The documents themselves, each as often as it is drawn. No text is shuffled but that of the blocks where budgets end."""
+    columns = docs.columns
+    keyed = _keyed(docs, seed)
+    counted = materialise(keyed.groupBy("_s", "_block").agg(F.sum("_n").alias("n")))
+    rows = _drawn(keyed, _plan(counted, budget, entropy, repeats))
+    discard(counted)
+    return rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(columns)
