@@ -50,8 +50,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row comes as often as its doc_id is drawn from its source; nulls are values like others."""
-    drawn = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(COLUMNS)
+    return mixing.draw(docs).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
