@@ -103,7 +103,8 @@ def cutoffs(rated: DataFrame, labels: DataFrame, alpha: float, delta: float) ->
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the statistics that the rules use, for every document."""
     rated = ratios(materialise(statistics(docs)))
-    rules = cutoffs(rated, labels, alpha, delta)
+    # a table of its own, a row per stratum: its known size lets it be broadcast, so that a common stratum is not one task
+    rules = materialise(cutoffs(rated, labels, alpha, delta))
     fails = F.lit(False)
     for rule, (stat, sign, _) in RULES.items():
         fails = fails | F.coalesce(F.col(stat) > F.col(f"cut_{rule}") if sign > 0 else F.col(stat) < F.col(f"cut_{rule}"), F.lit(False))
