@@ -73,6 +73,25 @@ def test_units(spark):
     assert one(spark, lambda c: units.percent_text(c.cast("double")), ["0.1807"]) == ["18.1%"] and one(spark, lambda c: units.seconds_text(c.cast("double")), ["2.0"]) == ["2.00s"]
 
 
+def test_units_send_ties_to_the_even_digit(spark):
+    assert one(spark, lambda c: units.bytes_text(c.cast("long")), ["693376", "693632", str(9 << 17), None]) == ["677.12KiB", "677.38KiB", "1.12MiB", None]
+    assert one(spark, lambda c: units.signed_mebibytes(c.cast("long")), [str(-(1 << 17)), str(3 << 17)]) == ["-0.12 MiB", "+0.38 MiB"]
+    assert one(spark, lambda c: units.seconds_text(c.cast("double")), ["0.125", "1.005", "2.675", "-0.001", "0", "1e20", None]) == ["0.12s", "1.00s", "2.68s", "-0.00s", "0.00s", "100000000000000000000.00s", None]
+    assert one(spark, lambda c: units.percent_text(c.cast("double")), ["0.0025", "0.0075"]) == ["0.2%", "0.8%"]
+
+
+def test_units_agree_with_sql_on_ties(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    rows = [(68117, 215), (3904809, 393216), (3904810, 131072), (7, 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    assert sorted(map(tuple, e.queries()["units_text"](spark, str(tmp_path)).collect())) == sorted(db.execute(e.oracle_sql()["units_text"]).fetchall())
+
+
 def test_arguments(spark):
     texts = ["a b", " x\t'y z' \"\" ", "a\\ b", "pre'mid'post", "'open", 'say "hi', "tail\\", "'tail\\", ""]
     assert one(spark, words.arguments, texts) == [["a", "b"], ["x", "y z", ""], ["a b"], ["premidpost"], None, None, None, None, []]
